@@ -1,73 +1,119 @@
 """Byte-pair encoding of whole texts through the tokenizers library, a pre-token at a time.
 
 The pre-tokenizer cuts a text before any merge, so the ids of a text are those of its
-pre-tokens in order. Pre-tokens repeat, and each distinct one goes through the library once
-per worker. Texts with characters for which Python's classes were not proven equal to the
-library's, or with a special token's string, go through the library whole.
+pre-tokens in order. In a text without two spaces in a row there is a cut before every space, so
+what lies between spaces can be looked up whole; such words repeat, and each distinct one is
+merged by the library's model once, as long as it stays in the worker's cache. Texts with
+characters for which Python's classes were not proven equal to the library's, or with a special
+token's string, go through the library whole.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 #: Fixed: the byte-level pre-tokenizer's pattern in the classes of the re module; equal to it on texts of SAFE characters.
 PRETOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters outside of those whose class (letter, digit, space, other) is the same for both.
 UNSAFE = re.compile(r"[^\t-\r -~À-ɏ‐-‧‰-⁞]")
-#: Cached pre-tokens per worker; the cache starts anew beyond that.
-CACHE = 600_000
+#: Words in each of a cache's two halves.
+CACHE = 350_000
 
 _loaded: dict[str, Encoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one above U+00FF."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
+
+
+class Cache(dict):
+    """Word -> value of the pre-tokens of a space and the word. When full, it becomes the old half, which is asked before a value is made anew.
+
+    A word of letters and one more character is two pre-tokens, so only the letters are kept.
+    """
+
+    def __init__(self, value: Callable, known: dict | None = None):
+        self.value, self.known, self.old, self.ends = value, known or {}, {}, {}
+
+    def __missing__(self, word: str):
+        if not word.isalpha():
+            stem, end = word[:-1], word[-1:]
+            if stem.isalpha() and not end.isalnum():
+                if end not in self.ends:
+                    self.ends[end] = self.value(end)
+                return self[stem] + self.ends[end]
+            value = None
+        else:
+            value = self.known.get(word) or self.old.get(word)
+        if value is None:
+            value = self.value(f" {word}")
+        self[word] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """The library's tokenizer with a cache of pre-tokens, values as little-endian unsigned 32-bit ids."""
+    """The library's tokenizer, with caches for ids (little-endian unsigned 32-bit) and for their number."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.letters = self.library.model, byte_letters()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-        self.counts: dict[str, int] = self.whole_tokens()
+        self.ids = Cache(self.merged)
+        self._counts: Cache | None = None
 
-    def whole_tokens(self) -> dict[str, int]:
+    def merged(self, part: str) -> bytes:
+        """The ids of a part of a plain text by the library's model."""
+        if part[1:].isalpha() and part.isascii() and part[0] == " ":
+            return packed([t.id for t in self.model.tokenize(f"Ġ{part[1:]}")])
+        return packed([t.id for p in PRETOKEN.findall(part) for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
+
+    def whole_tokens(self) -> set[str]:
         """The vocabulary's strings that are one pre-token and that the library encodes alone as one token."""
         n = self.library.get_vocab_size(with_added_tokens=False)
         words = [x for x in self.library.decode_batch([[i] for i in range(n)]) if x and not UNSAFE.search(x) and PRETOKEN.findall(x) == [x]]
-        return {x: 1 for x, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)) if len(e.ids) == 1}
+        return {x for x, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)) if len(e.ids) == 1}
+
+    @property
+    def counts(self) -> Cache:
+        """Number of ids: one for each pre-token that is a whole token; only others are merged."""
+        if self._counts is None:
+            whole = self.whole_tokens()
+            number = lambda part: sum(1 if p in whole else len(self.merged(p)) // 4 for p in PRETOKEN.findall(part))
+            self._counts = Cache(number, {x[1:]: 1 for x in whole if x[0] == " " and x[1:].isalpha()})
+        return self._counts
 
     def plain(self, text: str) -> bool:
         return not UNSAFE.search(text) and not any(x in text for x in self.special)
 
-    def pretokens(self, texts: list[str]) -> list[list[str] | None]:
-        """Each text's pre-tokens; None where the library has to take the text whole."""
-        return [PRETOKEN.findall(x) if self.plain(x) else None for x in texts]
-
-    def _fill(self, cache: dict, parts: list[list[str] | None], value) -> None:
-        if len(cache) > CACHE + 60_000:
-            cache.clear()
-            if cache is self.counts:
-                cache.update(self.whole_tokens())
-        missing = list(set().union(*(x for x in parts if x)) - cache.keys())
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            cache.update(zip(some, (value(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts = self.pretokens(texts)
-        self._fill(self.ids, parts, packed)
-        get = self.ids.__getitem__
-        return [packed(self.library.encode(t, add_special_tokens=False).ids) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
-
-    def count(self, texts: list[str]) -> list[int]:
-        """Each text's number of ids: one for each whole-token pre-token, and of the rest what merging gives."""
-        parts = self.pretokens(texts)
-        self._fill(self.counts, parts, len)
-        get = self.counts.__getitem__
-        return [len(self.library.encode(t, add_special_tokens=False).ids) if p is None else sum(map(get, p)) for t, p in zip(texts, parts)]
+    def encode(self, text: str) -> bytes:
+        """A text's ids."""
+        if not self.plain(text):
+            return packed(self.library.encode(text, add_special_tokens=False).ids)
+        if "  " in text:
+            return self.merged(text)
+        first, *words = text.split(" ")
+        return b"".join([self.merged(first), *map(self.ids.__getitem__, words)])
+
+    def count(self, text: str) -> int:
+        """A text's number of ids."""
+        if not self.plain(text):
+            return len(self.library.encode(text, add_special_tokens=False).ids)
+        if "  " in text:
+            return self.counts.value(text)
+        first, *words = text.split(" ")
+        return self.counts.value(first) + sum(map(self.counts.__getitem__, words))
 
 
 def packed(ids: list[int]) -> bytes:

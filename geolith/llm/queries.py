@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm import decontaminate, mixing, token_counts, token_files, warc
+from geolith.llm import decontaminate, mixing, near_dedup, substring_dedup, token_counts, token_files, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,17 +31,26 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = substring_dedup.dedup(_read(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).withColumn("mix_rate", F.round("mix_rate", 9))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_decontaminate, op3_token_counts, op6_mix_sources, op10_warc)}
+    return {f.__name__: f for f in (op1_token_files, op2_decontaminate, op3_token_counts, op4_substring_dedup, op6_mix_sources, op9_near_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.SQL, "op10_warc": warc.SQL}
+    return {"op4_substring_dedup": substring_dedup.SQL, "op6_mix_sources": mixing.SQL, "op9_near_dedup": near_dedup.SQL, "op10_warc": warc.SQL}

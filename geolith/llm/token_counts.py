@@ -2,7 +2,7 @@
 
 Which vocabulary strings are one pre-token and encode alone as one token is proven once per
 worker by encoding the vocabulary (bpe.Encoder.whole_tokens). Such pre-tokens count one each;
-only the rest is merged, each distinct pre-token once per worker.
+only the rest is merged, each distinct word once while it stays in the worker's cache.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.llm.bpe import encoder
-from geolith.llm.common import runs, text_column, texts_of
+from geolith.llm.common import text_column
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -25,14 +25,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, key: str =
 
     Null counts as the empty text: 0 bytes and tokens. A null key stays null, repeated rows stay
     repeated, an empty table gives none, other columns of docs are not read. Texts of any length are
-    counted whole; a batch of texts is cut at about 1 MB of text, so memory holds that, or one text.
+    counted whole, one by one.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            col, n_bytes = batch.column(1), pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            n = [k for i, j in runs(n_bytes.to_pylist()) for k in enc.count(texts_of(col.slice(i, j - i)))]
+            n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            n = []
+            for x in batch.column(1):
+                n.append(enc.count(x.as_py() or ""))
+            enc.counts.turn()
             n = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -53,7 +53,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         for batch in batches:
             sizes = batch.column(1).nbytes // max(1, batch.num_rows)
             for i, j in runs([sizes] * batch.num_rows):
-                ids = [x + end for x in enc.encode(texts_of(batch.column(1).slice(i, j - i)))]
+                ids = [enc.encode(x) + end for x in texts_of(batch.column(1).slice(i, j - i))]
+                enc.ids.turn()
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 ends = np.cumsum(n)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))

@@ -28,8 +28,15 @@ def test_classes_of_safe_characters_are_the_librarys():
     assert len(safe) > 500
     for c in safe:
         text = f"a{c}1 {c}{c} b{c} !{c}?{c}\n{c}  {c}'s{c}"
-        assert enc.encode([text])[0] == bpe.packed(enc.library.encode(text, add_special_tokens=False).ids), hex(ord(c))
-        assert enc.plain(text)
+        assert enc.encode(text) == bpe.packed(enc.library.encode(text, add_special_tokens=False).ids), hex(ord(c))
+        assert enc.plain(text) and enc.count(text) * 4 == len(enc.encode(text))
+
+
+@pytest.mark.parametrize("text", ["a  b", "a\n b", "a\n\n b  ", " \n a", "a \n\tb ", "  x", " ", "it's 'll don't've  we're", "a   b \n  c", "x\t y", "a ", "1st 2,000.50 _x_ __"])
+def test_words_between_spaces(text):
+    enc = bpe.encoder(PATH)
+    want = enc.library.encode(text, add_special_tokens=False).ids
+    assert enc.encode(text) == bpe.packed(want) and enc.count(text) == len(want)
 
 
 def test_token_counts(spark, sf_dir):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm import decontaminate, mixing, near_dedup, substring_dedup, token_counts, token_files, warc
+from geolith.llm import decontaminate, html_extract, language_id, media, mixing, near_dedup, substring_dedup, token_counts, token_files, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,10 +36,23 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_column(_read(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).withColumn("mix_rate", F.round("mix_rate", 9))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs, language_id.learnable(F.col("doc_id"))))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
@@ -49,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_decontaminate, op3_token_counts, op4_substring_dedup, op6_mix_sources, op9_near_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_token_files, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_media, op6_mix_sources, op7_language_id, op8_html_extract, op9_near_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,6 +54,7 @@ class Bucket:
         self.window, self.anchor = window, window - PERIOD + 1
         self.ids = _ids(table.column("doc_id"))
         self.column = _column(table, "text")
+        self.parts = list(pieces(self.column, 1 << 20, 4096))
         self.anchors = []  # per piece: positions and hashes
         for _, w in self.pieces():
             place = np.arange(len(w.starts)) - np.repeat(w.first[:-1], w.counts)
@@ -61,13 +62,13 @@ class Bucket:
             self.anchors.append((at, w.runs(at, self.anchor) & ~U(1), w.text_of()[at]))
 
     def pieces(self):
-        for start, part in pieces(self.column):
+        for start, part in self.parts:
             yield start, Words(part)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes, sorted, and whether two different doc_ids here have them."""
         h = np.concatenate([x[1] for x in self.anchors] or [np.zeros(0, U)])
-        ids = np.concatenate([self.ids[start + x[2]] for (start, _), x in zip(pieces(self.column), self.anchors)] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([self.ids[start + x[2]] for (start, _), x in zip(self.parts, self.anchors)] or [np.zeros(0, np.int64)])
         order = np.argsort(h, kind="stable")
         h, ids = h[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)

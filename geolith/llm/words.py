@@ -92,11 +92,14 @@ class Words:
         return self.data[self.at[i] : self.at[i + 1]].tobytes().split()
 
 
-def pieces(column: pa.Array, limit: int = 1 << 20):
-    """(first row, slice) of a column, cut at about limit bytes of text; a longer text is alone."""
+def pieces(column: pa.Array, limit: int = 1 << 18, rows: int = 512):
+    """(first row, slice) of a column, cut at about limit bytes of text and at rows; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    total, start = np.cumsum(sizes) // limit, 0
-    for i in [*(np.flatnonzero(np.diff(total)) + 1), len(sizes)]:
-        if i > start:
+    start = total = 0
+    for i, n in enumerate(sizes.tolist(), 1):
+        total += n
+        if total >= limit or i - start == rows:
             yield start, column.slice(start, i - start)
-            start = int(i)
+            start, total = i, 0
+    if start < len(sizes):
+        yield start, column.slice(start)

@@ -48,7 +48,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload")})
     facts = rows.select("page_id", "url", "digest", "n")
     firsts = facts.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.coalesce("page_id", F.lit((1 << 63) - 1))).alias("first"))
-    marked = facts.join(firsts, "digest", "left")
+    marked = facts.join(firsts.hint("merge"), "digest", "left")
     response = F.col("first").isNull() | (F.coalesce("page_id", F.lit((1 << 63) - 1)) == F.col("first"))
     marked = marked.withColumn("is_response", response)
     http = _utf8("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: ", F.col("n").cast("string"), CRLF + CRLF)
@@ -65,7 +65,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     last = F.lit((1 << 63) - 1)  # stands for a null page_id
     kept = spark.read.schema(RECORDS).parquet(f"{path}/records").where("is_response").groupBy("digest", F.coalesce("page_id", last).alias("first")).count()
     once = kept.groupBy("digest").agg(F.min("first").alias("first"), F.min_by("count", "first").alias("copies"))
-    holders = rows.select("digest", "payload", F.coalesce("page_id", last).alias("first")).join(once, ["digest", "first"])
+    holders = rows.select("digest", "payload", F.coalesce("page_id", last).alias("first")).join(once.hint("merge"), ["digest", "first"])  # as large as the pages: never broadcast
     repeated = holders.where("copies > 1").groupBy("digest").agg(F.first("payload").alias("payload"))
     holders.where("copies = 1").select("digest", "payload").unionByName(repeated).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
@@ -95,8 +95,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     heads, store = read_headers(spark, path), read_payloads(spark, path).withColumnRenamed("digest", "payload_digest")
     end, facts = F.encode(F.lit(CRLF * 2), "UTF-8"), ("page_id", "record_type", "refers_to", "payload_digest", F.col("n").alias("payload_bytes"), "verified")
-    full = heads.where("is_response").join(store, "payload_digest", "left").select(*facts, F.concat("header", "http", "payload", end).alias("record"))
-    return full.unionByName(heads.where("not is_response").join(store.drop("payload"), "payload_digest", "left").select(*facts, F.concat("header", "http", end).alias("record")))
+    full = heads.where("is_response").join(store.hint("merge"), "payload_digest", "left").select(*facts, F.concat("header", "http", "payload", end).alias("record"))
+    return full.unionByName(heads.where("not is_response").join(store.drop("payload").hint("merge"), "payload_digest", "left").select(*facts, F.concat("header", "http", end).alias("record")))
 
 
 def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:

@@ -37,9 +37,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, default: flo
     for k, v in (weights or {}).items():
         weight = F.when(F.col("source") == k, F.lit(float(v))).otherwise(weight)
     by = by.withColumn("weight", F.when(F.col("available") > 0, weight).otherwise(F.lit(0.0)))
-    sums = by.agg(F.sum("weight").alias("weights"), F.sum("available").alias("everything"))
-    want = F.col("everything") if total is None else F.lit(float(total))
-    return by.crossJoin(F.broadcast(sums)).select("source", "available", F.when(F.col("weight") > 0, want * F.col("weight") / F.col("weights") / F.col("available")).otherwise(0.0).alias("rate"))  # sums has one row
+    sums = by.agg(F.sum("weight").alias("weights"), F.sum("available").alias("everything")).first()
+    want = F.lit(float(sums.everything or 0.0) if total is None else float(total))
+    return by.select("source", "available", F.when(F.col("weight") > 0, want * F.col("weight") / F.lit(float(sums.weights or 1.0)) / F.col("available")).otherwise(0.0).alias("rate"))
 
 
 def tables(by: DataFrame) -> DataFrame:

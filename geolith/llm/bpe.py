@@ -19,7 +19,7 @@ PRETOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|
 #: Characters outside of those whose class (letter, digit, space, other) is the same for both.
 UNSAFE = re.compile(r"[^\t-\r -~À-ɏ‐-‧‰-⁞]")
 #: Words in each of a cache's two halves.
-CACHE = 350_000
+CACHE = 500_000
 
 _loaded: dict[str, Encoder] = {}
 
@@ -75,8 +75,9 @@ class Encoder:
 
     def merged(self, part: str) -> bytes:
         """The ids of a part of a plain text by the library's model."""
-        if part[1:].isalpha() and part.isascii() and part[0] == " ":
-            return packed([t.id for t in self.model.tokenize(f"Ġ{part[1:]}")])
+        if part[1:].isalpha() and part[0] == " ":
+            word = f"Ġ{part[1:]}" if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            return packed([t.id for t in self.model.tokenize(word)])
         return packed([t.id for p in PRETOKEN.findall(part) for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
 
     def whole_tokens(self) -> set[str]:

@@ -5,10 +5,14 @@ duplicates together; an odd sketch, the samples folded into a bitmap of parities
 population count estimates a high similarity, and throws out most false candidates; links are
 confirmed on the full sets. Equal sets are collapsed first: only the smallest doc_id of a class goes on.
 
-Within a band's group all pairs are never made. A round takes a few centres of each group, compares
-them with the members that are not connected with them yet, joins what links, and drops the used
-centres; groups whose members are all connected are done. In the end each pair of a group was
-compared, or is connected anyway, so components are those of all pairs.
+Within a band's group all pairs are never made. The first round compares each group's least
+document with the others and joins what links; groups whose members are all connected are done.
+What is left are mostly documents that share a common passage and little else. They are grouped
+anew, by the rarest shingles of each, so few that two documents which link must share one (prefix
+filtering): common passages bring no one together there. Rounds then take a few centres of each
+such group, compare them with the members that are not connected with them yet, if as much could
+still be shared from that shingle on as a link takes, and drop the used centres. In the end each pair of a band's group was compared, cannot link, or is connected
+anyway, so components are those of all pairs.
 """
 
 from __future__ import annotations
@@ -146,45 +150,102 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def rare_members(texts: DataFrame, shingle: int, percent: int, most: int = 200_000) -> DataFrame:
+    """key, doc, left: the rarest n - ceil(percent * n / 100) + 1 shingles of each text (doc, text), in an order common to all, and how many shingles are left from each on.
+
+    Any one order is exact. This one puts common shingles last: those in a thousandth of the texts or
+    more, the `most` most common of them, by their count; so their list has a bound.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in pieces(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(part, shingle)[1].view(np.int64))], ["key"])
+
+    counts = texts.select("text").mapInArrow(sets, "key long").groupBy("key").count().where(F.col("count") >= max(2, texts.count() // 1000))
+    common = counts.orderBy(F.col("count").desc(), "key").limit(most).toPandas()
+    common = common.assign(key=common["key"].to_numpy(np.int64).view(U)).sort_values("key")
+    shared = texts.sparkSession.sparkContext.broadcast((common["key"].to_numpy(), common["count"].to_numpy(np.int64)))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, count = shared.value
+        for batch in batches:
+            for start, part in pieces(batch.column(1)):
+                text, h = shingle_sets(part, shingle)
+                if not len(h):
+                    continue
+                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                c = np.where(keys[at] == h, count[at], 0) if len(keys) else np.zeros(len(h), np.int64)
+                order = np.lexsort((h, c, text))
+                n = np.bincount(text, minlength=len(part))
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                wanted = n - -(-percent * n // 100) + 1
+                keep = order[place < np.repeat(wanted, n)]
+                left = (np.repeat(n, n) - place)[place < np.repeat(wanted, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), batch.column(0).slice(start, len(part)).take(pa.array(text[keep])), pa.array(left.astype(np.int64))], ["key", "doc", "left"])
+
+    return texts.select("doc", "text").mapInArrow(rare, "key long, doc long, left long")
+
+
 def links(members: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """doc, comp over members (key, doc): components of all confirmed pairs that share a key; None if nothing links.
 
-    facts: doc, n, odd; texts: doc, text. Centres of a round: one, then 8, 64, ... of each group.
+    facts: doc, n, odd; texts: doc, text. Centres of a round: one of each band's group, then 8, 64, ... of each rare shingle's.
     """
-    limit, edges, tested, labels, centres = odd_limit(percent / 100), None, None, None, 1
+    limit, tested = odd_limit(percent / 100), []
     a, b = (facts.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
-    while True:
-        if labels is not None:
-            members = members.drop("comp").join(labels, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
-        else:
-            members = members.select("key", "doc", F.col("doc").alias("comp"))
-        live = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc").alias("least")).where("low < high")
-        if centres == 1:
-            members = members.join(live.select("key", "least"), "key")
-            first = members.withColumn("centre", F.col("doc") == F.col("least")).drop("least")
-            chosen = first.where("centre").select("key", F.col("doc").alias("c"), F.col("comp").alias("c_comp")).distinct()
-            rest = first.where("not centre").drop("centre")
-            pairs = rest.join(chosen, "key")
-        else:
-            members = stored(members.join(live.select("key"), "key", "left_semi"), "members")
-            if members.isEmpty():
-                return labels
-            order = Window.partitionBy("key").orderBy("doc")
-            chosen = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres).select("key", F.col("doc").alias("c"), F.col("comp").alias("c_comp"), "rank")
-            last = chosen.groupBy("key").agg(F.max("c").alias("last"))
-            rest = members.join(last, "key").where(F.col("doc") > F.col("last")).drop("last")
-            pairs = members.join(chosen, "key").where(F.col("c") != F.col("doc"))
-        rest = stored(rest, "members")
+    edges, labels = [], None
+
+    def named(rows: DataFrame) -> DataFrame:
+        rows = rows.drop("comp")
+        if labels is None:
+            return rows.withColumn("comp", F.col("doc"))
+        return rows.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc").alias("least")).where("low < high")
+
+    def compare(pairs: DataFrame) -> DataFrame | None:
+        """labels after the pairs (c, c_comp, doc, comp) that are worth it were confirmed."""
         new = pairs.where(F.col("c_comp") != F.col("comp")).select(F.least("c", "doc").alias("a"), F.greatest("c", "doc").alias("b")).distinct()
-        new = new if tested is None else new.join(tested, ["a", "b"], "left_anti")
+        for old in tested:
+            new = new.join(old, ["a", "b"], "left_anti")
         new = stored(new, "pairs")
+        tested.append(new)
         alike = new.join(a, "a").join(b, "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_xor(F.col("odd_a"), F.col("odd_b")) <= limit)).select("a", "b")
         found = stored(confirmed(alike, texts, shingle, percent), "links")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
-        tested = new if tested is None else tested.unionByName(new)
-        members, centres = rest, centres * 8
+        if found.isEmpty():
+            return labels
+        edges.append(found)
+        every = edges[0]
+        for e in edges[1:]:
+            every = every.unionByName(e)
+        return components(every)
+
+    rows = named(members)
+    rows = rows.join(unsettled(rows).select("key", "least"), "key")
+    centres = rows.where("doc = least").select("key", F.col("doc").alias("c"), F.col("comp").alias("c_comp")).distinct()
+    rest = stored(rows.where("doc <> least").drop("least"), "members")
+    labels = compare(rest.join(centres, "key"))
+    rest = named(rest)
+    live = rest.join(unsettled(rest).select("key"), "key", "left_semi").select("doc").distinct()
+    live = stored(texts.join(live, "doc", "left_semi"), "unsettled", compression="zstd")
+    if live.isEmpty():
+        return labels
+    sizes = facts.select("doc", "n")
+    rest, count = stored(rare_members(live, shingle, percent).join(sizes, "doc"), "rare"), 8
+    enough = (100 + percent) * F.least("left", "c_left") >= percent * (F.col("n") + F.col("c_n"))
+    while True:
+        rows = named(rest)
+        rows = stored(rows.join(unsettled(rows).select("key"), "key", "left_semi"), "members")
+        if rows.isEmpty():
+            return labels
+        order = Window.partitionBy("key").orderBy("doc")
+        centres = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("key", F.col("doc").alias("c"), F.col("comp").alias("c_comp"), F.col("left").alias("c_left"), F.col("n").alias("c_n"))
+        last = centres.groupBy("key").agg(F.max("c").alias("last"))
+        labels = compare(rows.join(centres, "key").where((F.col("c") != F.col("doc")) & (F.col("c_comp") != F.col("comp")) & enough))
+        rest = stored(rows.join(last, "key").where(F.col("doc") > F.col("last")).drop("last"), "members")
+        count *= 8
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

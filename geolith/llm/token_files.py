@@ -29,7 +29,7 @@ RESULT = "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 lon
 def options(row_group_mb: int = 32, page_kb: int = 256) -> dict[str, str]:
     """Parquet writer options of a token store."""
     return {
-        "compression": "zstd",
+        "compression": "snappy",
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "false",
         "parquet.block.size": str(row_group_mb << 20),
@@ -42,8 +42,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     """Encode each whole text, append end_id, and write a token store to path.
 
     Null counts as the empty text (its ids are end_id alone). Keys that are null come first;
-    equal keys are ordered by their text's hash, and a key with very many rows is spread over several
-    shards, as the range partitioning also goes by that hash and the row's place in the input. Empty
+    equal keys stay in the order of the input, and a key with very many rows is spread over several
+    shards, as the range partitioning also goes by the row's place in the input. Empty
     tables give a store without rows. Other columns of docs are not read.
     """
 
@@ -61,8 +61,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends - n), pa.array(n), tokens], ["doc_id", "shard", "local_start", "n_tokens", "tokens"])
                 start += int(ends[-1])
 
-    rows = text_column(docs, key, text).withColumns({"tie": F.xxhash64(text), "place": F.monotonically_increasing_id()})
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), key, "tie", "place").sortWithinPartitions(key, "tie", "place")
+    rows = text_column(docs, key, text).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), key, "place").sortWithinPartitions(key, "place")
     rows.select(key, text).mapInArrow(encode, STORE).write.options(**options(row_group_mb, page_kb)).parquet(path)
 
 

@@ -19,7 +19,7 @@ PRETOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|
 #: Characters outside of those whose class (letter, digit, space, other) is the same for both.
 UNSAFE = re.compile(r"[^\t-\r -~À-ɏ‐-‧‰-⁞]")
 #: Words in each of a cache's two halves.
-CACHE = 500_000
+CACHE = 250_000
 
 _loaded: dict[str, Encoder] = {}
 
@@ -34,26 +34,27 @@ def byte_letters() -> dict[int, str]:
 class Cache(dict):
     """Word -> value of the pre-tokens of a space and the word. When full, it becomes the old half, which is asked before a value is made anew.
 
-    A word of letters and one more character is two pre-tokens, so only the letters are kept.
+    A word of letters and one more character is two pre-tokens; it is kept itself only if its letters were seen before.
     """
 
-    def __init__(self, value: Callable, known: dict | None = None):
-        self.value, self.known, self.old, self.ends = value, known or {}, {}, {}
+    def __init__(self, word: Callable, part: Callable, known: dict | None = None):
+        self.word, self.part, self.known, self.old, self.ends = word, part, known or {}, {}, {}
 
     def __missing__(self, word: str):
-        if not word.isalpha():
-            stem, end = word[:-1], word[-1:]
-            if stem.isalpha() and not end.isalnum():
-                if end not in self.ends:
-                    self.ends[end] = self.value(end)
-                return self[stem] + self.ends[end]
-            value = None
-        else:
-            value = self.known.get(word) or self.old.get(word)
-        if value is None:
-            value = self.value(f" {word}")
-        self[word] = value
-        return value
+        if word.isalpha():
+            value = self.old.get(word) or self.known.get(word) or self.word(word)
+            self[word] = value
+            return value
+        stem, end = word[:-1], word[-1:]
+        if not stem.isalpha() or end.isalnum():
+            value = self[word] = self.part(f" {word}")
+            return value
+        if end not in self.ends:
+            self.ends[end] = self.part(end)
+        if stem in self:
+            value = self[word] = self[stem] + self.ends[end]
+            return value
+        return self[stem] + self.ends[end]
 
     def turn(self) -> None:
         if len(self) > CACHE:
@@ -70,14 +71,16 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model, self.letters = self.library.model, byte_letters()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.ids = Cache(self.merged)
+        self.ids = Cache(self.word, self.merged)
         self._counts: Cache | None = None
 
+    def word(self, letters: str) -> bytes:
+        """The ids of a space and letters."""
+        tokens = self.model.tokenize(f"Ġ{letters}" if letters.isascii() else f" {letters}".encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
+
     def merged(self, part: str) -> bytes:
         """The ids of a part of a plain text by the library's model."""
-        if part[1:].isalpha() and part[0] == " ":
-            word = f"Ġ{part[1:]}" if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            return packed([t.id for t in self.model.tokenize(word)])
         return packed([t.id for p in PRETOKEN.findall(part) for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
 
     def whole_tokens(self) -> set[str]:
@@ -92,7 +95,7 @@ class Encoder:
         if self._counts is None:
             whole = self.whole_tokens()
             number = lambda part: sum(1 if p in whole else len(self.merged(p)) // 4 for p in PRETOKEN.findall(part))
-            self._counts = Cache(number, {x[1:]: 1 for x in whole if x[0] == " " and x[1:].isalpha()})
+            self._counts = Cache(lambda w: len(self.word(w)) // 4, number, {x[1:]: 1 for x in whole if x[0] == " " and x[1:].isalpha()})
         return self._counts
 
     def plain(self, text: str) -> bool:
@@ -112,9 +115,9 @@ class Encoder:
         if not self.plain(text):
             return len(self.library.encode(text, add_special_tokens=False).ids)
         if "  " in text:
-            return self.counts.value(text)
+            return self.counts.part(text)
         first, *words = text.split(" ")
-        return self.counts.value(first) + sum(map(self.counts.__getitem__, words))
+        return self.counts.part(first) + sum(map(self.counts.__getitem__, words))
 
 
 def packed(ids: list[int]) -> bytes:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import stored, texts_of
+from geolith.llm.common import give_back, stored, texts_of
 from geolith.llm.words import pieces
 
 DIMS = 4096
@@ -186,6 +186,7 @@ def known_language(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for start, part in pieces(batch.column(batch.schema.get_field_index("text")).cast(pa.string())):
                 yield batch.slice(start, len(part)).filter(pa.array([not x for x in shared.value.predict(part)[2]], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(go, docs.schema)
 

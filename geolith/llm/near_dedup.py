@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geolith.llm.common import stored, text_column
+from geolith.llm.common import give_back, stored, text_column
 from geolith.llm.words import U, Words, mixed, pieces
 
 #: Samples in a band, and bands: at similarity 0.8 a pair shares no band with probability 6e-7.
@@ -111,6 +111,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     bands, odd = band_keys(m), odd_sketches(m)
                 lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * k)]).astype(np.int32)), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(bands, BANDS), lists(odd, ODD_BITS // 64)], ["doc_id", "n", "s1", "s2", "bands", "odd"])
+        give_back()
 
     return text_column(docs, "doc_id", "text").mapInArrow(go, SKETCH)
 
@@ -129,6 +130,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 union = np.bincount(t, minlength=len(part)) - both
                 keep = pa.array((100 * both >= percent * union) & (union > 0))
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, len(part)).filter(keep) for k in (0, 1)], ["a", "b"])
+        give_back()
 
     own = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))

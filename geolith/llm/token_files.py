@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.llm.bpe import encoder
-from geolith.llm.common import partitions, runs, shared_dir, text_column, texts_of
+from geolith.llm.common import give_back, partitions, runs, shared_dir, text_column, texts_of
 
 STORE = "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>"
 RESULT = "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 long"
@@ -60,6 +60,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends - n), pa.array(n), tokens], ["doc_id", "shard", "local_start", "n_tokens", "tokens"])
                 start += int(ends[-1])
+        give_back()
 
     rows = text_column(docs, key, text).withColumn("place", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(partitions(docs.sparkSession), key, "place").sortWithinPartitions(key, "place")
@@ -90,6 +91,7 @@ def digest_tokens(spark: SparkSession, path: str) -> DataFrame:
             values, ends = np.ascontiguousarray(col.values.to_numpy(zero_copy_only=False), "<u4"), col.offsets.to_numpy()
             n = [zlib.crc32(values[i:j]) for i, j in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(n, pa.int64())], ["doc_id", "shard", "local_start", "n_tokens", "ids_crc32"])
+        give_back()
 
     rows = read_tokens(spark, path).mapInArrow(crc, RESULT)
     base = F.broadcast(bases(spark, path))  # a row per shard

@@ -16,10 +16,11 @@ from collections.abc import Callable
 
 #: Fixed: the byte-level pre-tokenizer's pattern in the classes of the re module; equal to it on texts of SAFE characters.
 PRETOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters outside of those whose class (letter, digit, space, other) is the same for both.
 UNSAFE = re.compile(r"[^\t-\r -~À-ɏ‐-‧‰-⁞]")
 #: Words in each of a cache's two halves.
-CACHE = 250_000
+CACHE = 300_000
 
 _loaded: dict[str, Encoder] = {}
 
@@ -34,7 +35,8 @@ def byte_letters() -> dict[int, str]:
 class Cache(dict):
     """Word -> value of the pre-tokens of a space and the word. When full, it becomes the old half, which is asked before a value is made anew.
 
-    A word of letters and one more character is two pre-tokens; it is kept itself only if its letters were seen before.
+    Letters and what follows them are separate pre-tokens, so of a word only its leading letters are kept, and what follows in `ends`;
+    a word with up to three more characters is kept itself if its letters were seen before.
     """
 
     def __init__(self, word: Callable, part: Callable, known: dict | None = None):
@@ -45,16 +47,20 @@ class Cache(dict):
             value = self.old.get(word) or self.known.get(word) or self.word(word)
             self[word] = value
             return value
-        stem, end = word[:-1], word[-1:]
-        if not stem.isalpha() or end.isalnum():
-            value = self[word] = self.part(f" {word}")
+        stem = LETTERS.match(word)
+        if not stem:
+            return self.part(f" {word}")
+        at = stem.end()
+        stem, end = word[:at], word[at:]
+        tail = self.ends.get(end)
+        if tail is None:
+            if len(self.ends) > CACHE // 4:
+                self.ends.clear()
+            tail = self.ends[end] = self.part(end)
+        if len(end) <= 3 and stem in self:
+            value = self[word] = self[stem] + tail
             return value
-        if end not in self.ends:
-            self.ends[end] = self.part(end)
-        if stem in self:
-            value = self[word] = self[stem] + self.ends[end]
-            return value
-        return self[stem] + self.ends[end]
+        return self[stem] + tail
 
     def turn(self) -> None:
         if len(self) > CACHE:

@@ -31,7 +31,7 @@ _own: dict[str, str | None] = {}
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read from there: its lineage is cut."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

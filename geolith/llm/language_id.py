@@ -151,7 +151,7 @@ def fit(docs: DataFrame, train: Column | None = None, most: int = SAMPLE, cluste
         least = np.minimum(np.minimum(least, floor), CAP)
         return pa.table({"lang": [table.column("lang")[0].as_py()] * len(c), "centroid": [x.astype(np.float32).tobytes() for x in c], "least": [x.astype(np.float64).tobytes() for x in least]}, schema=pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("least", pa.binary())]))
 
-    some = stored(sample(docs, F.lit(True) if train is None else train, most).mapInArrow(features, "lang string, tf binary"), "features", compression="zstd")
+    some = stored(sample(docs, F.lit(True) if train is None else train, most).mapInArrow(features, "lang string, tf binary"), "features")
     parts = some.mapInArrow(frequencies, "n long, df binary").collect()
     n, df = sum(r.n for r in parts), sum((np.frombuffer(r.df, np.int64) for r in parts), np.zeros(DIMS, np.int64))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)

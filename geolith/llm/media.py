@@ -229,4 +229,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 def media_column(docs: DataFrame) -> DataFrame:
     """Store docs' texts as a media column in the shared folder, read it back and return its digests."""
-    return digests(stored(to_media(docs), "media", compression="zstd"))
+    return digests(stored(to_media(docs), "media"))

@@ -231,7 +231,7 @@ def links(members: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int,
     labels = compare(rest.join(centres, "key"))
     rest = named(rest)
     live = rest.join(unsettled(rest).select("key"), "key", "left_semi").select("doc").distinct()
-    live = stored(texts.join(live, "doc", "left_semi"), "unsettled", compression="zstd")
+    live = stored(texts.join(live, "doc", "left_semi"), "unsettled")
     if live.isEmpty():
         return labels
     sizes = facts.select("doc", "n")
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if not members.isEmpty():
         some = stored(members.select("doc").distinct(), "candidates")
         texts = text_column(docs, "doc_id", "text").withColumnRenamed("doc_id", "doc").join(some, "doc", "left_semi")
-        texts = stored(texts, "texts", compression="zstd")
+        texts = stored(texts, "texts")
         facts = stored(reps.select("doc", "n", "odd").join(some, "doc", "left_semi"), "facts")
         labels = links(members, facts, texts, shingle, percent)
     rows = joined.select("doc_id", "n", "rep")

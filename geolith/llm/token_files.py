@@ -29,7 +29,7 @@ RESULT = "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 lon
 def options(row_group_mb: int = 32, page_kb: int = 256) -> dict[str, str]:
     """Parquet writer options of a token store."""
     return {
-        "compression": "snappy",
+        "compression": "uncompressed",
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "false",
         "parquet.block.size": str(row_group_mb << 20),

@@ -239,14 +239,19 @@ def links(members: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int,
     enough = (100 + percent) * F.least("left", "c_left") >= percent * (F.col("n") + F.col("c_n"))
     while True:
         rows = named(rest)
-        rows = stored(rows.join(unsettled(rows).select("key"), "key", "left_semi"), "members")
+        # members that could not share enough with the smallest one of the group are done
+        open_ = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least_n")).where("low < high").select("key", "least_n")
+        rows = stored(rows.join(open_, "key").where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("least_n"))).drop("least_n"), "members")
         if rows.isEmpty():
             return labels
-        order = Window.partitionBy("key").orderBy("doc")
-        centres = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("key", F.col("doc").alias("c"), F.col("comp").alias("c_comp"), F.col("left").alias("c_left"), F.col("n").alias("c_n"))
-        last = centres.groupBy("key").agg(F.max("c").alias("last"))
-        labels = compare(rows.join(centres, "key").where((F.col("c") != F.col("doc")) & (F.col("c_comp") != F.col("comp")) & enough))
-        rest = stored(rows.join(last, "key").where(F.col("doc") > F.col("last")).drop("last"), "members")
+        # members of small components come first: once they were centres, a group's largest component is alone
+        size = rows.groupBy("key", "comp").agg(F.count("*").alias("size"))
+        rows = rows.join(size, ["key", "comp"]).withColumn("order", F.struct("size", "comp", "doc")).drop("size")
+        order = Window.partitionBy("key").orderBy("order")
+        centres = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("key", "order", F.col("doc").alias("c"), F.col("comp").alias("c_comp"), F.col("left").alias("c_left"), F.col("n").alias("c_n"))
+        last = centres.groupBy("key").agg(F.max("order").alias("last"))
+        labels = compare(rows.join(centres.drop("order"), "key").where((F.col("c_comp") != F.col("comp")) & enough))
+        rest = stored(rows.join(last, "key").where(F.col("order") > F.col("last")).drop("last", "order"), "members")
         count *= 8
 
 

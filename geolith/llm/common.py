@@ -22,10 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = _own.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="geolith-")
         _own[spark.sparkContext.applicationId] = base
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 _own: dict[str, str | None] = {}
+_made: list[str] = []
+
+
+def made() -> list[str]:
+    """The folders that shared_dir gave this process so far and that are there still."""
+    return [*_made]
+
+
+def discard(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete the folders that shared_dir gave this process, but for those to keep. Results that were not written yet can't be read after it."""
+    for path in set(_made) - set(keep):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:

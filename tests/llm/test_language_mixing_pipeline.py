@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from geolith.llm import decontaminate, language_id, mixing, near_dedup, queries
+from geolith.llm import common, decontaminate, language_id, mixing, near_dedup, queries
 
 
 def test_language_id_held_out_accuracy(spark, sf_dir):
@@ -127,3 +127,12 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
 def test_pipeline_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and set(rows[0].asDict()) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_scratch_folders_are_kept_until_discarded(spark, sf_dir):
+    before = common.made()
+    other = common.stored(spark.range(5), "other")
+    rows = corpus_pipeline.run(spark, sf_dir)
+    assert other.count() == 5 and rows.count() > 0 and len(common.made()) == len(before) + 2
+    common.discard(spark, keep=before)
+    assert common.made() == before

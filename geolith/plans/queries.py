@@ -165,10 +165,10 @@ def dictionary_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mn.extract_mentions(demo.read(spark, sf_dir, "documents"), mn.DictionaryTagger(names))
 
 
-@_query()
+@_query("SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(w, [strip_accents(x) for x in w]))), '|') AS names FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")
 def accent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = demo.read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split("text", " ")).alias("names"))
-    return words.select("item_id", fx.expand_accents(F.col("names")).alias("names"))
+    return words.select("item_id", F.array_join(F.array_sort(fx.expand_accents(F.col("names"))), "|").alias("names"))
 
 
 _PARTIAL = "(1, 'a b. c b. d', 'b.'), (2, 'no event here', 'x'), (3, 'same', 'same'), (4, 'two. two. end', 'two.'), (5, 'abc', '')"
@@ -535,6 +535,97 @@ def training_attach_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.attach_gold(m, gold).select("doc_id", "mention_id", "gold_id")
 
 
+_SENTENCES = "(1, 'a', 1, 4, CAST(NULL AS INT), CAST(NULL AS INT)), (2, 'b', CAST(NULL AS INT), CAST(NULL AS INT), 10, 14), (3, 'c', 2, 3, 20, 21)"
+_SENTENCE_COLUMNS = "correct_geonamesid, text, start_char_sent, end_char_sent, start_char_doc, end_char_doc"
+
+
+@_query(f"WITH t({_SENTENCE_COLUMNS}) AS (VALUES {_SENTENCES}) SELECT text, coalesce(start_char_sent, start_char_doc) AS \"start\", coalesce(end_char_sent, end_char_doc) AS \"end\", correct_geonamesid::VARCHAR AS gold_id FROM t")
+def training_from_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.from_sentences(demo.literal(spark, _SENTENCES, _SENTENCE_COLUMNS))
+
+
+_TOPONYMS = "('In Homs.', 3, 7, 'Homs', '169577'), ('In Homs.', 0, 2, 'In', ''), ('To Aleppo', 3, 9, 'Aleppo', '170063')"
+
+
+@_query(f"WITH t(text, s, e, name, gold_id) AS (VALUES {_TOPONYMS}) SELECT text, s AS \"start\", e AS \"end\", name, gold_id FROM t WHERE gold_id <> ''")
+def training_from_toponyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = demo.literal(spark, _TOPONYMS, "text, s, e, name, gold_id")
+    one = F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.col("name").alias("extractedName"), F.col("gold_id").alias("geonamesID"))
+    return tr.from_toponyms(t.groupBy("text").agg(F.struct(F.collect_list(one).alias("toponym")).alias("toponyms")), "gwn")
+
+
+@_query("WITH " + _cand() + ", q AS (SELECT *, slot % 3 = 1 AS is_correct FROM cand) SELECT doc_id, mention_id, slot, is_correct, NOT is_correct AS is_negative FROM q")
+def gold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of candidates, and those that stay when the right ones are taken out."""
+    rows = _candidates(spark, sf_dir)[1].withColumn("gold_id", F.when(F.col("slot") % 3 == 1, F.col("geonameid")))
+    marked = ft.correct(rows).select("doc_id", "mention_id", "slot", "is_correct")
+    rest = ft.without_gold(rows).select("doc_id", "mention_id", "slot", F.lit(True).alias("is_negative"))
+    return marked.join(rest, ["doc_id", "mention_id", "slot"], "left").withColumn("is_negative", F.coalesce("is_negative", F.lit(False)))
+
+
+@_query("WITH " + _cand() + ", nc AS (SELECT doc_id, mention_id, count(c.geonameid)::INT AS nc FROM men LEFT JOIN cand c USING (doc_id, mention_id) GROUP BY ALL), grid AS (SELECT doc_id, mention_id, nc, unnest(range(0, 5))::INT AS slot FROM nc)"
+        " SELECT doc_id, mention_id, slot, (CASE WHEN slot = 4 THEN 53 WHEN slot < nc THEN 1 ELSE 52 END)::INT AS code_idx, (slot <= nc) AS real, (CASE WHEN slot = 4 THEN -1 WHEN slot < nc THEN 0.5 WHEN slot = nc THEN 99 ELSE 99 END)::DOUBLE AS max_dist, (CASE WHEN slot = 4 THEN -1 WHEN slot < nc THEN 1 WHEN slot = nc THEN -1 ELSE 0 END)::DOUBLE AS country_parent_match FROM grid")
+def slot_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five slots of each mention: candidates, the one for no entry, padding, the last one overwritten."""
+    m, rows, _ = _candidates(spark, sf_dir)
+    rows = rows.withColumns({**{c: F.lit(0.5) for c in ft.FEATURES if not c.endswith("_match")}, **{c: F.lit(1) for c in ft.FEATURES if c.endswith("_match")}, "code_idx": F.lit(1), "country_idx": F.lit(1)})
+    rows = ft.with_null_candidate(rows, m).withColumns({"code_idx": F.coalesce("code_idx", F.lit(ft.NULL_CODE)), "country_idx": F.coalesce("country_idx", F.lit(0))})
+    at = lambda c: F.get("features", F.lit(ft.FEATURES.index(c))).alias(c)
+    return ft.packed(rows, 5, 0).select("doc_id", "mention_id", "slot", "code_idx", "real", at("max_dist"), at("country_parent_match"))
+
+
+@_query("WITH t AS (SELECT (vec_id // 10)::BIGINT AS doc_id, (vec_id % 10)::INT AS token, label, embedding FROM embeddings), u AS (SELECT doc_id, token, label % 2 = 0 AS context, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM t), m(mention_id, f, l) AS (VALUES (0, 0, 2), (1, 4, 5)),"
+        " v AS (SELECT doc_id, mention_id, i, avg(if(token >= f AND token < l, x, NULL)) AS a, avg(x) AS b, avg(if(context AND NOT (token >= f AND token < l), x, NULL)) AS c FROM u, m GROUP BY ALL)"
+        " SELECT doc_id, mention_id, round(sum(coalesce(a, 0)), 5) AS tensor, round(sum(b), 5) AS doc_tensor, round(sum(coalesce(c, 0)), 5) AS locs_tensor FROM v GROUP BY ALL")
+def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the vectors of mentions, documents and other places, with ten vectors of the table as a document."""
+    e = demo.read(spark, sf_dir, "embeddings")
+    n = len(e.select("embedding").first()[0])
+    tokens = e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("doc_id"), (F.col("vec_id") % 10).cast("int").alias("token"), F.when(F.col("label") % 2 == 0, "NORP").otherwise("").alias("label"), F.col("embedding").alias("vec"))
+    found = tokens.select("doc_id").distinct().withColumn("m", F.explode(F.array(*(F.struct(F.lit(k).alias("mention_id"), F.lit(i).alias("first"), F.lit(j).alias("last")) for k, i, j in ((0, 0, 2), (1, 4, 5)))))).select("doc_id", "m.*")
+    out = mn.context_vectors(tokens, found, n)
+    return out.select("doc_id", "mention_id", *(F.round(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), 5).alias(c) for c in ("tensor", "doc_tensor", "locs_tensor")))
+
+
+@_query(_with(demo.GAZETTEER, demo.MENTIONS) + "SELECT doc_id, coalesce(string_agg(if(mention_id % 2 = 0, search_name, NULL), ' ' ORDER BY start_char), '') AS event_location_raw FROM men GROUP BY doc_id")
+def event_location_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = demo.mentions(spark, sf_dir).withColumn("label", F.when(F.col("mention_id") % 2 == 0, "EVENT_LOC").otherwise("GPE"))
+    return mn.event_location_text(m)
+
+
+@_query(_with(demo.GAZETTEER, demo.MENTIONS) + "SELECT d.doc_id, count(m.mention_id) AS n_before FROM documents d JOIN men m ON m.doc_id = d.doc_id GROUP BY d.doc_id HAVING true".replace("count(m.mention_id)", "count(if(m.start_char < length(d.text) // 2, 1, NULL))"))
+def event_mention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions that start before the end of a document's first half."""
+    docs = demo.read(spark, sf_dir, "documents")
+    geo = demo.mentions(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("search_name").alias("geonameid"), "start_char")).alias("geo"))
+    half = docs.select("doc_id", F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("partial_doc")).join(geo, "doc_id")
+    return ev.mentions_before(half).select("doc_id", F.size("geo").cast("long").alias("n_before"))
+
+
+@_query("""SELECT * FROM (VALUES (1, 'Berlin', 'Berlin', 'Germany', 'Match'), (2, 'Homs', 'Homs', 'SYR', 'Match'), (3, NULL, NULL, NULL, 'No')) t(event_id, place, province, country, event_loc_reason)""")
+def event_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.literal(spark, "(1, 'Berlin', 'DEU', 'Match'), (2, 'Homs', 'SYR', 'Match'), (3, CAST(NULL AS STRING), CAST(NULL AS STRING), 'No')", "event_id, p, c, event_loc_reason")
+    loc = F.struct(F.col("p").alias("name"), F.lit("").alias("admin2_name"), F.col("p").alias("admin1_name"), F.col("c").alias("country_code3"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit("1").alias("geonameid"))
+    events = rows.withColumns({"event_loc": loc, "qa": F.struct(F.lit("x").alias("answer"))})
+    return ev.event_rows(events, demo.literal(spark, "('DEU', 'Germany')", "code3, name")).select("event_id", "place", "province", "country", "event_loc_reason")
+
+
+_STORIES = "(1, '[{\"event_id\": 10, \"name\": \"A\"}, {\"event_id\": 11, \"name\": \"B\"}]'), (2, '[]'), (3, '[{\"event_id\": 12, \"name\": \"C\"}]')"
+
+
+@_query("SELECT * FROM (VALUES (1::BIGINT, 10::BIGINT, 'A', 'H1'), (1, 11, 'B', 'H1'), (3, 12, 'C', 'H3')) t(storyid, event_id, name, \"Headline\")")
+def story_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = demo.literal(spark, _STORIES, "storyid, events")
+    kind = "array<struct<event_id: long, text: string, name: string, sentence_num: int>>"
+    stories = t.select(F.col("storyid").cast("long").alias("storyid"), F.concat(F.lit("H"), F.col("storyid").cast("string")).alias("Headline"), F.lit("").alias("Rawtext"), F.from_json("events", kind).alias("events"))
+    return readers.story_events(stories).select("storyid", "event_id", "name", "Headline")
+
+
+@_query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
+def json_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo.read(spark, sf_dir, "nation").select("n_nationkey", sinks.as_json("n_nationkey", "n_name").alias("json"))
+
+
 @_query()
 def geoparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job: documents to resolved places."""

@@ -39,12 +39,14 @@ class Cache(dict):
     a word with up to three more characters is kept itself if its letters were seen before.
     """
 
-    def __init__(self, word: Callable, part: Callable, known: dict | None = None):
-        self.word, self.part, self.known, self.old, self.ends = word, part, known or {}, {}, {}
+    def __init__(self, word: Callable, part: Callable):
+        self.word, self.part, self.old, self.ends = word, part, {}, {}
 
     def __missing__(self, word: str):
         if word.isalpha():
-            value = self.old.get(word) or self.known.get(word) or self.word(word)
+            value = self.old.get(word)
+            if value is None:
+                value = self.word(word)
             self[word] = value
             return value
         stem = LETTERS.match(word)
@@ -75,19 +77,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model, self.letters = self.library.model, byte_letters()
+        self.model = self.library.model
+        letters = byte_letters()
+        plain = (c for c in map(chr, range(0x2060)) if not UNSAFE.match(c))
+        self.letters = {ord(c): "".join(letters[b] for b in c.encode()) for c in plain}  # of every safe character
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.ids = Cache(self.word, self.merged)
         self._counts: Cache | None = None
 
     def word(self, letters: str) -> bytes:
         """The ids of a space and letters."""
-        tokens = self.model.tokenize(f"Ġ{letters}" if letters.isascii() else f" {letters}".encode().decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in tokens]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize("Ġ" + (letters if letters.isascii() else letters.translate(self.letters)))]).tobytes()
 
     def merged(self, part: str) -> bytes:
         """The ids of a part of a plain text by the library's model."""
-        return packed([t.id for p in PRETOKEN.findall(part) for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
+        return packed([t.id for p in PRETOKEN.findall(part) for t in self.model.tokenize(p.translate(self.letters))])
 
     def whole_tokens(self) -> set[str]:
         """The vocabulary's strings that are one pre-token and that the library encodes alone as one token."""
@@ -101,7 +105,8 @@ class Encoder:
         if self._counts is None:
             whole = self.whole_tokens()
             number = lambda part: sum(1 if p in whole else len(self.merged(p)) // 4 for p in PRETOKEN.findall(part))
-            self._counts = Cache(lambda w: len(self.word(w)) // 4, number, {x[1:]: 1 for x in whole if x[0] == " " and x[1:].isalpha()})
+            known = {x[1:] for x in whole if x[0] == " "}
+            self._counts = Cache(lambda w: 1 if w in known else len(self.word(w)) // 4, number)
         return self._counts
 
     def plain(self, text: str) -> bool:

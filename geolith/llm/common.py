@@ -53,8 +53,8 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 def give_back() -> None:
     """Return freed memory to the system at a task's end: Python workers live on, and the next stage needs room too."""
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    if trim := sys.platform == "linux" and getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,8 +83,15 @@ def guess_in_rel(text: str, tokens: Tokens, spans: Spans, k: int, strict: bool =
     return "" if tokens[after[1]][0] in (",", "and") else name
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out to all cores if the optimizer takes them for so small that a scan has fewer partitions; a large input is left as it lies."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * (4 << 20) else docs
+
+
 def extract_mentions(docs: DataFrame, tagger: Tagger, strict: bool = False) -> DataFrame:
-    """MENTION rows of docs (doc_id, text): no shuffle, one pass. Texts that repeat may be tagged once with once_per_text."""
+    """MENTION rows of docs (doc_id, text): one pass, without a shuffle but for inputs of very few partitions. Texts that repeat may be tagged once with once_per_text."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,7 +105,7 @@ def extract_mentions(docs: DataFrame, tagger: Tagger, strict: bool = False) -> D
                         n += 1
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schemas.MENTION.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(go, schemas.MENTION)
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInPandas(go, schemas.MENTION)
 
 
 def mentions_of_tokens(docs: DataFrame, strict: bool = False) -> DataFrame:
@@ -142,12 +150,22 @@ def once_per_text(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> D
 def pieces(docs: DataFrame) -> DataFrame:
     """doc_id, pos, piece, start: runs of letters, with their places and character offsets."""
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(doc, k, m[0], m.start()) for doc, text in zip(pdf["doc_id"], pdf["text"]) for k, m in enumerate(_LETTERS.finditer(text or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "piece", "start"])
-
-    return docs.select("doc_id", "text").mapInPandas(go, "doc_id long, pos long, piece string, start long")
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                found = [list(_LETTERS.finditer(text or "")) for text in part.column(1).to_pylist()]
+                n = np.array([len(x) for x in found], np.int64)
+                flat = [m for x in found for m in x]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)),
+                        pa.array([m[0] for m in flat], pa.string()), pa.array([m.start() for m in flat], pa.int64()),
+                    ],
+                    ["doc_id", "pos", "piece", "start"],
+                )
+
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(go, "doc_id long, pos long, piece string, start long")
 
 
 def token_vectors(word_pieces: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ DIMS = 4096
 #: Documents of a language that are looked at for fitting, at most about; and its clusters, at most.
 SAMPLE, CLUSTERS = 800, 4
 #: A text is rejected if its cosine is under this share of the least in its centroid's sample of its length or shorter.
-MARGIN = 0.5
+MARGIN = 0.35
 #: That least cosine is at most this for each length class: few n-grams lie far from any centroid, and a small sample has few short texts.
 CAP = np.minimum(0.5, 0.5 * 2.0 ** ((np.arange(16) - 9) / 4))
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"

@@ -26,11 +26,11 @@ def normal(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " "))
 
 
-def phrases(name: Column, longest: int = 6) -> Column:
-    """All distinct runs of 1 to `longest` words of a name, normalised."""
+def phrases(name: Column, longest: int | None = None) -> Column:
+    """All distinct runs of words of a name, normalised; of at most `longest` words, if given."""
     words = F.split(normal(name), " ")
     runs = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(words), F.lit(longest))),
+        F.sequence(F.lit(1), F.size(words) if longest is None else F.least(F.size(words), F.lit(longest))),
         lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")),
     )
     return F.filter(F.array_distinct(F.flatten(runs)), lambda x: x != "")

@@ -50,9 +50,9 @@ def all_names(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.select("geonameid", F.explode(F.array_distinct(F.concat(F.array("name", "asciiname"), "alternativenames"))).alias("place_name"))
 
 
-def phrase_index(gazetteer: DataFrame, longest: int = 6) -> DataFrame:
-    """phrase, geonameid: every run of words within one name. Written once, it serves all searches by equality."""
-    return all_names(gazetteer).select("geonameid", F.explode(phrases(F.col("place_name"), longest)).alias("phrase")).distinct()
+def phrase_index(gazetteer: DataFrame) -> DataFrame:
+    """phrase, geonameid: every run of words within one name, of any length, as searches have no other exact path. Written once, it serves all searches by equality."""
+    return all_names(gazetteer).select("geonameid", F.explode(phrases(F.col("place_name"))).alias("phrase")).distinct()
 
 
 def word_index(gazetteer: DataFrame) -> DataFrame:

@@ -158,6 +158,20 @@ def test_phrase_index_equals_the_plain_test(spark, gaz, index):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_names_of_seven_words_and_more_meet_their_entries(spark):
+    uk, helena, georgia = "United Kingdom of Great Britain and Northern Ireland", "Saint Helena, Ascension and Tristan da Cunha", "South Georgia and the South Sandwich Islands"
+    long = " ".join(f"w{i}" for i in range(40))
+    own = spark.createDataFrame([place("1", "Britain", [uk], cls="A", code="PCLI", country="GBR"), place("2", helena, cls="A", code="ADM1", country="SHN", adm1_name="SH"), place("3", georgia, n=2), place("4", "Islands", n=9), place("5", long)], schemas.GAZETTEER)
+    ind = gazetteer.phrase_index(own)
+    q = lambda *x: spark.createDataFrame([(n,) for n in x], "query string")
+    asked = q(uk, helena, georgia, long, long[3:], "Georgia and the South Sandwich Islands", georgia + " Territory", uk.replace("Great", "Little"))
+    assert {(r.query, r.geonameid) for r in retrieval.phrase_search(asked, ind, own).collect()} == {(uk, "1"), (helena, "2"), (georgia, "3"), (long, "5"), (long[3:], "5"), ("Georgia and the South Sandwich Islands", "3")}
+    assert [r.geonameid for r in retrieval.search(q(georgia), ind, own, 1).collect()] == ["3"]
+    assert [r.geonameid for r in retrieval.country_by_name(q(uk), ind, own).collect()] == ["1"] and [r.geonameid for r in retrieval.adm1_by_name(q(helena), ind, own).collect()] == ["2"]
+    found = spark.createDataFrame([(1, 0, uk), (1, 1, helena)], "doc_id long, mention_id int, in_rel string")
+    assert {tuple(r) for r in retrieval.parents(found, ind, own).collect()} == {(uk, "GBR", ""), (helena, "SHN", "SH")}
+
+
 def test_search_order_filters_and_fallback(spark, gaz, index):
     q = lambda *x: spark.createDataFrame([(n,) for n in x], "query string")
     assert [r.geonameid for r in retrieval.phrase_search(q("Berlin"), index, gaz).orderBy("slot").collect()] == ["2950159", "4500771"]

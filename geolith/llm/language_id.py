@@ -3,12 +3,13 @@
 A text's vector counts its byte n-grams (2 and 3 bytes of lower-cased text, all but letters as
 spaces) in DIMS hashed places, damped, weighted by inverse document frequency and of length one.
 Each language has a few centroids, the means of clusters of its sample. A text gets the language of
-the centroid with the largest cosine and is rejected if that is farther than the sample's
-texts of its length are from theirs, by a wide margin.
+the centroid with the largest cosine and is rejected if that is farther than nearly all texts of its
+language and length are from theirs, by a margin. Distances are taken over all rows that fitting may look at.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,10 +25,12 @@ from geolith.llm.words import pieces
 DIMS = 4096
 #: Documents of a language that are looked at for fitting, at most about; and its clusters, at most.
 SAMPLE, CLUSTERS = 800, 4
-#: A text is rejected if its cosine is under this share of the least in its centroid's sample of its length or shorter.
-MARGIN = 0.35
-#: That least cosine is at most this for each length class: few n-grams lie far from any centroid, and a small sample has few short texts.
-CAP = np.minimum(0.5, 0.5 * 2.0 ** ((np.arange(16) - 9) / 4))
+#: A text is rejected if its cosine is under MARGIN times the quantile LOW of the rightly labelled training texts of its language and length class.
+MARGIN, LOW = 0.7, 0.005
+#: A class with fewer training texts takes the level of the nearest shorter one, else of the nearest longer one, times SHORTER for each class between.
+ENOUGH, SHORTER = 20, 0.6
+#: Length classes, and bins of cosines from 0 to 1 that are counted for the quantile.
+CLASSES, BINS = 13, 200
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 _LETTER = re.compile("[A-Za-z]")
 _TABLE = np.array([x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x > 127 else 32 for x in range(256)], np.uint8)
@@ -63,8 +66,26 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def length_class(tf: np.ndarray) -> np.ndarray:
-    """The power of two of the number of n-grams, from 0 to 15."""
-    return np.clip(np.log2(np.maximum(tf.sum(axis=1), 1)).astype(int), 0, 15)
+    """The power of two of the number of distinct n-grams, from 0 to 12: repeating a text tells no more of its language."""
+    return np.log2(np.maximum((tf > 0).sum(axis=1), 1)).astype(int)
+
+
+def _quantiles(seen: np.ndarray, enough: int) -> np.ndarray | None:
+    """The level of each length class from counts (CLASSES, BINS) of cosines; None if no class has enough."""
+    n = seen.sum(axis=1)
+    full = np.flatnonzero(n >= enough)
+    if not len(full):
+        return None
+    own = (seen.cumsum(axis=1) > LOW * n[:, None]).argmax(axis=1) / BINS
+    return np.array([own[full[full <= s][-1]] if (full <= s).any() else own[full[0]] * SHORTER ** (full[0] - s) for s in range(CLASSES)])
+
+
+def levels(seen: np.ndarray) -> np.ndarray:
+    """(languages, CLASSES): the least cosine a text may have, from counts (languages, CLASSES, BINS); languages without enough texts take that of all."""
+    whole = seen.sum(axis=0)
+    spare = next((x for x in (_quantiles(whole, ENOUGH), _quantiles(whole, 1)) if x is not None), np.zeros(CLASSES))
+    own = [_quantiles(x, ENOUGH) for x in seen]
+    return MARGIN * np.array([spare if x is None else x for x in own]).reshape(-1, CLASSES)
 
 
 def cluster(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -90,15 +111,19 @@ class Model:
     centroids: np.ndarray
     least: np.ndarray
 
+    def nearest(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroid of each text and its cosine, from 0 to 1."""
+        sims = vectors(tf, self.idf) @ self.centroids.T
+        best = sims.argmax(axis=1)
+        return best, np.clip(sims[np.arange(len(best)), best], 0, 1)
+
     def predict(self, column: pa.Array) -> tuple[list[str], list[float], list[bool]]:
         """Language (und without letters), cosine and rejection of each text; of equal cosines the first centroid's."""
         tf = counts(column)
         letters = [has_letter(x) for x in texts_of(column)]
         if not self.langs:
             return ["und"] * len(letters), [0.0] * len(letters), [True] * len(letters)
-        sims = vectors(tf, self.idf) @ self.centroids.T
-        best = sims.argmax(axis=1)
-        score = np.clip(sims[np.arange(len(best)), best], 0, 1)
+        best, score = self.nearest(tf)
         out = score < self.least[best, length_class(tf)]
         return [self.langs[b] if x else "und" for b, x in zip(best, letters)], [float(s) if x else 0.0 for s, x in zip(score, letters)], [bool(o) or not x for o, x in zip(out, letters)]
 
@@ -108,20 +133,68 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def sample(docs: DataFrame, train: Column, most: int = SAMPLE) -> DataFrame:
-    """lang, text: of each language about `most` documents at most, by a hash of the id, from those that train marks."""
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = docs.where(train & F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).count()
+def labelled(docs: DataFrame, train: Column) -> DataFrame:
+    """id, lang, text of the rows that train marks and that have a language and a letter."""
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    return rows.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def sample(rows: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """lang, text: of each language about `most` of the labelled rows at most, by a hash of the id."""
+    sizes = rows.groupBy("lang").count()
     share = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes  # a row per language
     return rows.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(most) / F.col("count") * (1 << 30)).select("lang", "text")
 
 
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """Inverse document frequencies of the DIMS places over all rows. The driver gets the sums alone."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(DIMS + 1, np.int64)
+        for batch in batches:
+            for _, part in pieces(batch.column(0)):
+                df[:DIMS] += (counts(part) > 0).sum(axis=0)
+                df[DIMS] += len(part)
+        if df[DIMS]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(df)], ["place", "n"])
+
+    df = np.zeros(DIMS + 1, np.int64)
+    for r in rows.select("text").mapInArrow(go, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        df[r.place] = r.n
+    return (np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 1).astype(np.float32)
+
+
+def cosines(rows: DataFrame, model: Model) -> np.ndarray:
+    """(languages, CLASSES, BINS): how many of all rows have a cosine in a bin with the nearest centroid, if that is of their own language."""
+    shared, names = rows.sparkSession.sparkContext.broadcast(model), sorted(set(model.langs))
+    shape = (len(names), CLASSES, BINS)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, seen = shared.value, {x: i for i, x in enumerate(names)}, np.zeros(math.prod(shape), np.int64)
+        of = np.array([at[x] for x in own.langs])
+        for batch in batches:
+            for start, part in pieces(batch.column(1)):
+                lang = np.array([at.get(x, -1) for x in batch.column(0).slice(start, len(part)).to_pylist()])
+                tf = counts(part)
+                best, score = own.nearest(tf)
+                right = of[best] == lang
+                place = np.ravel_multi_index((lang[right], length_class(tf)[right], np.minimum((score[right] * BINS).astype(int), BINS - 1)), shape)
+                np.add.at(seen, place, 1)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["place", "n"])
+
+    seen = np.zeros(math.prod(shape), np.int64)
+    for r in rows.select("lang", "text").mapInArrow(go, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        seen[r.place] = r.n
+    return seen.reshape(shape)
+
+
 def fit(docs: DataFrame, train: Column | None = None, most: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
     """A model from text and non-null lang of docs' rows that train marks (all, if None).
 
-    The sample is bounded (`most` a language, in expectation); its vectors, not its texts, are
-    grouped by language. The driver gets document frequencies and centroids only, `clusters` of DIMS
-    numbers a language.
+    The least cosines come from all those rows. Document frequencies and centroids come from a
+    bounded sample (`most` a language, in expectation); its vectors, not its texts, are grouped by
+    language. The driver gets sums and centroids only, `clusters` of DIMS numbers a language.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,33 +203,22 @@ def fit(docs: DataFrame, train: Column | None = None, most: int = SAMPLE, cluste
                 tf = counts(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array([x.tobytes() for x in tf], pa.binary())], ["lang", "tf"])
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(DIMS, np.int64)
-        for batch in batches:
-            n += batch.num_rows
-            for x in batch.column(1).to_pylist():
-                df += np.frombuffer(x, np.float32) > 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
-
     def centroids(table: pa.Table) -> pa.Table:
         rows = sorted(table.column("tf").to_pylist())
-        tf = np.array([np.frombuffer(x, np.float32) for x in rows])
-        v, size = vectors(tf, idf), length_class(tf)
-        c = cluster(v, clusters)
-        sims = v @ c.T
-        own, near = sims.argmax(axis=1), sims.max(axis=1)
-        least = np.array([[min([1.0, *near[(own == j) & (size <= s)]]) if (size <= s).any() else near.min() for s in range(16)] for j in range(len(c))])
-        floor = np.array([near[size <= s].min() if (size <= s).any() else near.min() for s in range(16)])
-        least = np.minimum(np.minimum(least, floor), CAP)
-        return pa.table({"lang": [table.column("lang")[0].as_py()] * len(c), "centroid": [x.astype(np.float32).tobytes() for x in c], "least": [x.astype(np.float64).tobytes() for x in least]}, schema=pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("least", pa.binary())]))
-
-    some = stored(sample(docs, F.lit(True) if train is None else train, most).mapInArrow(features, "lang string, tf binary"), "features")
-    parts = some.mapInArrow(frequencies, "n long, df binary").collect()
-    n, df = sum(r.n for r in parts), sum((np.frombuffer(r.df, np.int64) for r in parts), np.zeros(DIMS, np.int64))
-    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    rows = sorted(some.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, least binary").collect())
-    return Model(idf, [r.lang for r in rows], np.array([np.frombuffer(r.centroid, np.float32) for r in rows]).reshape(-1, DIMS), MARGIN * np.array([np.frombuffer(r.least, np.float64) for r in rows]).reshape(-1, 16))
+        c = cluster(vectors(np.array([np.frombuffer(x, np.float32) for x in rows]), idf), clusters)
+        return pa.table({"lang": [table.column("lang")[0].as_py()] * len(c), "centroid": [x.astype(np.float32).tobytes() for x in c]}, schema=pa.schema([("lang", pa.string()), ("centroid", pa.binary())]))
+
+    rows = labelled(docs, F.lit(True) if train is None else train)
+    own = sample(rows, most)
+    idf = frequencies(own)
+    some = stored(own.mapInArrow(features, "lang string, tf binary"), "features")
+    found = sorted(some.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary").collect())
+    langs = [r.lang for r in found]
+    model = Model(idf, langs, np.array([np.frombuffer(r.centroid, np.float32) for r in found]).reshape(-1, DIMS), np.zeros((len(langs), CLASSES)))
+    if langs:
+        names = sorted(set(langs))
+        model.least = levels(cosines(rows, model))[[names.index(x) for x in langs]]
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators 6 and 7, and the corpus pipeline."""
 
+import base64
 import hashlib
 import math
 import zlib
@@ -38,6 +39,35 @@ def test_language_id_odd_rows(spark, sf_dir):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+UNLEARNED = {
+    "fi": "Hallitus kertoi eilen, että uusi laki tulee voimaan ensi kuussa, mutta monet kansalaiset eivät ole tyytyväisiä siihen. Talvella sataa paljon lunta ja järvet jäätyvät, kesällä aurinko paistaa yötä päivää pohjoisessa. Maan pääkaupunki kasvaa joka vuosi. ",
+    "pl": "Wczoraj wieczorem rząd ogłosił, że nowa ustawa wejdzie w życie w przyszłym miesiącu, choć wielu obywateli nie jest z niej zadowolonych. Stolica kraju rozwija się bardzo szybko, a liczba mieszkańców rośnie każdego roku. Zimą pada dużo śniegu i jeziora zamarzają. ",
+    "tr": "Hükümet dün akşam yeni yasanın gelecek ay yürürlüğe gireceğini açıkladı, ancak birçok vatandaş bundan memnun değil. Ülkenin başkenti çok hızlı gelişiyor ve nüfusu her yıl artıyor. Kışın çok kar yağar ve göller donar. ",
+    "sw": "Serikali ilitangaza jana jioni kwamba sheria mpya itaanza kutumika mwezi ujao, lakini wananchi wengi hawajaridhika nayo. Mji mkuu wa nchi unakua kwa kasi sana na idadi ya watu inaongezeka kila mwaka. ",
+}
+
+
+def test_language_id_rejects_unlearned_languages_and_junk_of_any_length(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    texts = [x * n for x in UNLEARNED.values() for n in (1, 4, 800)]
+    texts += [base64.b64encode(rng.bytes(n)).decode() for n in (375, 15_000)] + [letters(n) for n in (500, 20_000)] + ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, n))) for n in (300, 20_000)]
+    model = language_id.fit(docs, language_id.learnable(F.col("doc_id")))
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [i for i in got if not got[i].rejected] == []
+    long = docs.where("lang is not null").groupBy("lang").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")).withColumn("doc_id", F.lit(1))
+    assert not language_id.identify(long, model).where("rejected").count()
+
+
+def test_language_levels_are_those_of_each_length():
+    seen = np.zeros((3, language_id.CLASSES, language_id.BINS), int)
+    seen[0, 9, 160], seen[0, 9, 5], seen[0, 4, 20], seen[1, 8, 100] = 1000, 2, 50, 19
+    got = language_id.levels(seen) / language_id.MARGIN
+    assert np.allclose(got[0], [0.1 * 0.6**4, 0.1 * 0.6**3, 0.1 * 0.6**2, 0.1 * 0.6, *[0.1] * 5, *[0.8] * 4])  # neither short texts nor two outliers lower it
+    assert np.allclose(got[1], got[2]) and np.allclose(got[1], got[0])  # too few of their own
+
+
 def test_language_vectors_see_whole_texts_and_nothing_else():
     one = language_id.counts(pa.array(["ab"]))
     assert one.sum() == 3 + 2  # " a", "ab", "b ", " ab", "ab "

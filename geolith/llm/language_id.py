@@ -4,7 +4,8 @@ A text's vector counts its byte n-grams (2 and 3 bytes of lower-cased text, all
 spaces) in DIMS hashed places, damped, weighted by inverse document frequency and of length one.
 Each language has a few centroids, the means of clusters of its sample. A text gets the language of
 the centroid with the largest cosine and is rejected if that is farther than nearly all texts of its
-language and length are from theirs, by a margin. Distances are taken over all rows that fitting may look at.
+language and length are from theirs, by a margin. Frequencies and distances are taken over all rows
+that fitting may look at.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ def cosines(rows: DataFrame, model: Model) -> np.ndarray:
 def fit(docs: DataFrame, train: Column | None = None, most: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
     """A model from text and non-null lang of docs' rows that train marks (all, if None).
 
-    The least cosines come from all those rows. Document frequencies and centroids come from a
+    Document frequencies and the least cosines come from all those rows. Centroids come from a
     bounded sample (`most` a language, in expectation); its vectors, not its texts, are grouped by
     language. The driver gets sums and centroids only, `clusters` of DIMS numbers a language.
     """
@@ -209,9 +210,8 @@ def fit(docs: DataFrame, train: Column | None = None, most: int = SAMPLE, cluste
         return pa.table({"lang": [table.column("lang")[0].as_py()] * len(c), "centroid": [x.astype(np.float32).tobytes() for x in c]}, schema=pa.schema([("lang", pa.string()), ("centroid", pa.binary())]))
 
     rows = labelled(docs, F.lit(True) if train is None else train)
-    own = sample(rows, most)
-    idf = frequencies(own)
-    some = stored(own.mapInArrow(features, "lang string, tf binary"), "features")
+    idf = frequencies(rows)
+    some = stored(sample(rows, most).mapInArrow(features, "lang string, tf binary"), "features")
     found = sorted(some.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary").collect())
     langs = [r.lang for r in found]
     model = Model(idf, langs, np.array([np.frombuffer(r.centroid, np.float32) for r in found]).reshape(-1, DIMS), np.zeros((len(langs), CLASSES)))

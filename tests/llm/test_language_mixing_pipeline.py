@@ -60,6 +60,15 @@ def test_language_id_rejects_unlearned_languages_and_junk_of_any_length(spark, s
     assert not language_id.identify(long, model).where("rejected").count()
 
 
+def test_language_frequencies_come_from_all_rows(spark):
+    rows = [(i, "plain words of text" + (" zqx" if i == 7 else ""), "en") for i in range(200)] + [(None, "never zzz", "en"), (300, "none zzz", None), (301, "12", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, language_id.learnable(F.col("doc_id")), most=5)
+    own = [x for i, x, _ in rows[:200] if zlib.crc32(str(i).encode()) % 4 != 2]
+    df = (language_id.counts(pa.array(own)) > 0).sum(axis=0)
+    assert np.allclose(model.idf, np.log((1 + len(own)) / (1 + df)) + 1, atol=1e-5)
+
+
 def test_language_levels_are_those_of_each_length():
     seen = np.zeros((3, language_id.CLASSES, language_id.BINS), int)
     seen[0, 9, 160], seen[0, 9, 5], seen[0, 4, 20], seen[1, 8, 100] = 1000, 2, 50, 19

@@ -74,7 +74,8 @@ def search(names: DataFrame, index: DataFrame, gazetteer: DataFrame, k: int = 50
 
 
 def candidates(mentions: DataFrame, index: DataFrame, gazetteer: DataFrame, k: int = 50, fuzzy: int = 0, fallback: bool = True, strict: bool = False, **only: object) -> DataFrame:
-    """doc_id, mention_id, search_name, in_rel, slot, geonameid of each mention's candidates; the name is cleaned for the search alone."""
+    """doc_id, mention_id, search_name, in_rel, slot, geonameid of each mention's candidates; the name is cleaned for the search alone. strict: limit_types has no effect, as in the reference."""
+    only = {**only, "limit_types": False} if strict else only
     named = mentions.select("doc_id", "mention_id", "search_name", "in_rel", clean_search_name(F.col("search_name"), strict).alias("query"))
     find = search if fallback else lambda n, i, g, k, fuzzy, **o: fuzzy_search(n, g, k, fuzzy, **o) if fuzzy else phrase_search(n, i, g, k, **o)
     return named.join(find(named, index, gazetteer, k, fuzzy, **only), "query").drop("query")

@@ -189,6 +189,12 @@ def test_search_order_filters_and_fallback(spark, gaz, index):
     assert [(r.geonameid, r.name) for r in retrieval.by_id(spark.createDataFrame([("9",), ("0",)], "geonameid string"), gaz).select("geonameid", "name").orderBy("geonameid").collect()] == [("0", None), ("9", "Spandau")]
 
 
+def test_strict_candidates_ignore_limit_types(spark, gaz, index):
+    found = spark.createDataFrame([(1, 0, "Alexanderplatz", "")], "doc_id long, mention_id int, search_name string, in_rel string")
+    ids = lambda strict, **o: [r.geonameid for r in retrieval.candidates(found, index, gaz, fallback=False, strict=strict, limit_types=True, **o).collect()]
+    assert ids(True) == ["6944049"] and ids(True, known_country="USA") == [] and ids(False) == []
+
+
 def test_extent(gaz):
     assert gazetteer.data_extent(None) == schemas.DataExtent.NA and gazetteer.data_extent(gaz) == schemas.DataExtent.ALL
     assert gazetteer.data_extent(gaz.where("country_code3 = 'NLD'")) == schemas.DataExtent.TEST and gazetteer.data_extent(gaz.limit(0)) == schemas.DataExtent.NONE

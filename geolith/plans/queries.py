@@ -631,5 +631,5 @@ def geoparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job: documents to resolved places."""
     g = demo.gazetteer(spark, sf_dir)
     names = [r.asciiname for r in g.select("asciiname").distinct().collect()]  # a parameter of the tagger: some hundred words of the benchmark
-    parser = Geoparser(g, gz.phrase_index(g), mn.DictionaryTagger(names), max_choices=SLOTS, fallback=False)
+    parser = Geoparser(g, gz.phrase_index(g), mn.DictionaryTagger(names))
     return parser.resolved(demo.read(spark, sf_dir, "documents"))

@@ -12,6 +12,7 @@ from geolith import schemas
 from geolith.functions import math as fm
 from geolith.functions import text as fx
 from geolith.operators import evaluate, events, features, gazetteer, mentions, resolve, retrieval, scoring, training
+from geolith.plans import queries
 from geolith.plans.geoparse import Geoparser
 from geolith.sources import readers, sinks
 from geolith.streaming.job import resolve_stream
@@ -195,6 +196,13 @@ def test_strict_candidates_ignore_limit_types(spark, gaz, index):
     assert ids(True) == ["6944049"] and ids(True, known_country="USA") == [] and ids(False) == []
 
 
+def test_whole_job_has_production_values(spark, sf_dir, monkeypatch):
+    made, real = [], queries.Geoparser
+    monkeypatch.setattr(queries, "Geoparser", lambda *a, **o: made.append(real(*a, **o)) or made[-1])
+    assert not queries.geoparse_documents(spark, sf_dir).isEmpty()
+    assert made[0].max_choices == 100 and made[0].fallback
+
+
 def test_extent(gaz):
     assert gazetteer.data_extent(None) == schemas.DataExtent.NA and gazetteer.data_extent(gaz) == schemas.DataExtent.ALL
     assert gazetteer.data_extent(gaz.where("country_code3 = 'NLD'")) == schemas.DataExtent.TEST and gazetteer.data_extent(gaz.limit(0)) == schemas.DataExtent.NONE

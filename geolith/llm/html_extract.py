@@ -1,10 +1,14 @@
 """HTML extraction (8) by minimum-cut labelling.
 
-A page is cut into text blocks. A logistic classifier of each block's place in the document and of
-its text gives two costs, for calling it content or boilerplate; they are the capacities from the
-source and to the sink. Edges between neighbours in page order, stronger the closer they are in
-the tree, are the cost of unlike labels. The minimum cut is the cheapest labelling; blocks on the
-source's side are the main text.
+A page is cut into text blocks. A logistic classifier of each block's text, with a prior for the
+markup around it, gives two costs, for calling it content or boilerplate; they are the capacities
+from the source and to the sink. Edges between neighbours in page order, stronger the closer they
+are in the tree, and between blocks of one parent are the cost of unlike labels. The minimum cut is
+the cheapest labelling; blocks on the source's side are the main text. The text of a short paragraph or of a list of
+links speaks for boilerplate; what stands around it decides.
+
+The classifier's weights are fitted by `fit` on blocks whose label the markup gives away; the markup
+is not among its features.
 """
 
 from __future__ import annotations
@@ -14,138 +18,232 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "page_id long, url string, text string, n_chars long"
-#: Comments, declarations, tags with quoted attributes, and what a cut page ends with.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z|</[^a-zA-Z>][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-#: Elements whose content is not markup, or never shown as the page's text.
-RAW = frozenset("script style title textarea iframe noembed noframes xmp template noscript svg math object select option datalist head".split())
+#: A start or end tag with quoted attributes, of at most 256 runs between quotes.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,256}+)>")
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Elements whose content is not markup, never shown as the page's text, or a form's.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp template desc metadata defs annotation annotation-xml object select option datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: A paragraph ends where one of these begins.
-_ENDS_P = BLOCK - {"html", "body", "button"}
-#: Log odds of content for standing inside an element, and for words of its class, id or role.
-PLACE = {"article": 6.0, "main": 4.0, "nav": -12.0, "header": -9.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "button": -12.0, "search": -12.0, "legend": -6.0, "label": -6.0}
+_ENDS_P = BLOCK - {"html", "body", "button", "noscript"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p pre blockquote dd figcaption td".split())
+#: Prior log odds of content for standing inside an element, and for words of its class, id or role: the least and the largest around a block count.
+AGAINST, FOR = -8.0, 3.0
+PLACE = {x: AGAINST for x in "nav header footer aside form menu dialog button search".split()} | {"legend": -4.0, "label": -4.0, "noscript": -2.0, "article": FOR, "main": 2.0}
 NAMES = {
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner": -12.0,
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc": -12.0,
-    "header masthead topbar footer contentinfo colophon copyright": -12.0,
-    "sidebar aside complementary widget related recommended recommendations trending share sharing social": -12.0,
-    "comment comments commentlist reply replies respond discussion disqus": -12.0,
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search": -12.0,
-    "article content entry post story main body text prose": 2.0,
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner": AGAINST,
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc": AGAINST,
+    "header masthead topbar footer contentinfo colophon copyright": AGAINST,
+    "sidebar aside complementary widget related recommended recommendations trending share sharing social": AGAINST,
+    "comment comments commentlist reply replies respond discussion disqus": AGAINST,
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search": AGAINST,
+    "article content entry post story main body text prose": 1.0,
 }
 _NAMES = {w: x for words, x in NAMES.items() for w in words.split()}
-#: Logistic weights of a block's text: constant, log of its words, share of its characters in links, end of a sentence, heading.
-CONSTANT, WORDS, LINKS, SENTENCE, HEADING = -1.5, 0.7, -5.0, 1.0, 1.0
-#: Cost of unlike neighbours with the same parent, and its decay for each step in the tree between them.
-SMOOTH, DECAY = 1.0, 0.5
+#: A class or id with one of these words tells of the layout around, not of what is inside.
+_LAYOUT = frozenset("no has with without hide wrap wrapper container layout grid row col columns".split())
+FEATURES = ("constant", "words", "links", "sentence", "heading", "paragraph", "sign", "middle")
+#: What fitting starts from and is held near to, by the names of FEATURES; and the weights, as fit() gives them for the first 2000 pages of sf0.1.
+EXPECTED = (-2.5, 0.8, -4.0, 0.5, 1.5, 1.0, -2.0, 0.5)
+WEIGHTS = (-2.37, 0.73, -4.04, 0.39, 1.92, 2.52, -2.25, 0.49)
+#: Most that a block's text may say, in log odds.
+MOST = 4.0
+#: Cost of unlike neighbours with the same parent, its decay for each step in the tree between them, and the cost of unlike blocks of one parent that others stand between.
+SMOOTH, DECAY, APART = 2.0, 0.4, 1.0
+#: Words at which a text's say is 63 % of its odds: a short one says little by itself.
+SHORT = 4.0
+
+
+class Block(NamedTuple):
+    """A text block: share of its characters in links, whether it is (in) a heading or paragraph, the markup's prior, number of its parent element,
+    and steps in the tree from the block before, beyond those between siblings."""
 
+    text: str
+    links: float
+    heading: bool
+    paragraph: bool
+    prior: float
+    parent: int
+    steps: int
 
-def names_weight(attributes: str) -> tuple[float, bool]:
-    """What an element's attributes say, and whether they hide it."""
+
+def names_weight(name: str, attributes: str) -> tuple[float, float, bool]:
+    """What an element's attributes say against and for content, and whether they hide it."""
     low, high, hidden = 0.0, 0.0, False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id", "role"):
-            for word in re.split(r"[^a-z]+", value):
-                x = _NAMES.get(word, 0.0)
-                low, high = min(low, x), max(high, x)
-        elif name == "style":
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), (a or b or c).lower()
+        if key in ("class", "id", "role"):
+            for token in value.split():
+                words = [x for x in re.split(r"[^a-z]+", token) if x]
+                if name in ("html", "body") or not _LAYOUT.isdisjoint(words):
+                    continue
+                for word in words:
+                    x = _NAMES.get(word, 0.0)
+                    low, high = min(low, x), max(high, x)
+        elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
-            hidden |= name == "hidden" or value == "true"
-    return (low or high), hidden
-
-
-def blocks(page: str) -> list[tuple[str, float, tuple[int, ...]]]:
-    """(text, log odds of content, path of element numbers) of each block with text, in page order."""
-    out: list[tuple[str, float, tuple[int, ...]]] = []
-    stack: list[tuple[str, float, int, int]] = []  # name, log odds of its place, number, links around
-    parts: list[str] = []
-    linked = at = number = 0
-    heading = False
-    end = len(page)
-
-    def flush() -> None:
-        nonlocal linked, heading
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            hidden |= key == "hidden" or value == "true"
+    return low, high, hidden
+
+
+class Parser:
+    """Blocks of a page in page order, in time linear in its length: each tag costs what it opens or closes."""
+
+    def __init__(self, page: str):
+        self.page, self.out = page, []
+        self.stack: list[tuple[str, float, float, int, int]] = []  # name, against, for, number, links around
+        self.places: dict[str, list[int]] = {}  # where elements of a name stand in the stack
+        self.levels: list[int] = []  # where block elements stand
+        self.parts: list[str] = []
+        self.linked = self.number = self.lowest = self.depth = 0
+        self.heading = False
+        self.run()
+        self.flush()
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                n = text.count(" ") + 1
-                odds = CONSTANT + WORDS * math.log(n) + LINKS * min(1.0, linked / len(text)) + SENTENCE * (text[-1] in ".!?…:;\"'”»)") + HEADING * heading
-                out.append((text, odds + (stack[-1][1] if stack else 0.0), tuple(x[2] for x in stack if x[0] in BLOCK)))
-            parts.clear()
-        linked = 0
-
-    def add(text: str) -> None:
-        nonlocal linked, heading
+                top, levels = self.stack[-1] if self.stack else ("", 0.0, 0.0, 0, 0), self.levels
+                own = self.stack[levels[-1]][0] if levels else ""
+                parent = self.stack[levels[-2]][3] if len(levels) > 1 else 0
+                steps = max(0, self.depth + len(levels) - 2 * self.lowest - 2) if self.out else 0
+                self.out.append(Block(text, min(1.0, self.linked / len(text)), self.heading, own in PARAGRAPHS, top[1] + top[2], parent, steps))
+                self.depth = self.lowest = len(levels)
+            self.parts.clear()
+        self.linked = 0
+
+    def add(self, text: str) -> None:
         if text:
-            parts.append(text)
-            if stack and stack[-1][3]:
-                linked += len(text.strip())
-            heading = bool(stack) and any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-3:])
-
-    while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            if name in BLOCK:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCK and stack[k][0] in BLOCK:
-                    break
-            if name == "p" and not parts:
+            self.parts.append(text)
+            if self.stack and self.stack[-1][4]:
+                self.linked += len(text.strip())
+            self.heading = not HEADINGS.isdisjoint(x[0] for x in self.stack[-3:])
+
+    def open(self, name: str, attributes: str) -> None:
+        low, high, hidden = names_weight(name, attributes) if attributes else (0.0, 0.0, False)
+        inside = self.places.get("article") or self.places.get("main")
+        x = 0.0 if name in ("header", "noscript") and inside else PLACE.get(name, 0.0)
+        _, low0, high0, _, links = self.stack[-1] if self.stack else ("", 0.0, 0.0, 0, 0)
+        self.number += 1
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.levels.append(len(self.stack))
+        self.stack.append((name, min(low0, low, x, 5 * AGAINST * hidden), max(high0, high, x), self.number, links + (name == "a")))
+
+    def close(self, k: int) -> None:
+        """Close all elements from place k of the stack."""
+        for x in self.stack[k:]:
+            self.places[x[0]].pop()
+        del self.stack[k:]
+        while self.levels and self.levels[-1] >= k:
+            self.levels.pop()
+        self.lowest = min(self.lowest, len(self.levels))
+
+    def top_block(self) -> str:
+        return self.stack[self.levels[-1]][0] if self.levels else ""
+
+    def run(self) -> None:
+        page, at, end = self.page, 0, len(self.page)
+        last = page.rfind(">")
+        while at < end:
+            i = page.find("<", at)
+            if i < 0:
+                self.add(page[at:])
+                return
+            kind = page[i + 1 : i + 2]
+            if page.startswith("</>", i):
+                self.add(page[at:i])
+                at = i + 3
                 continue
-        elif name in RAW:
-            if name == "head":
+            if kind in ("!", "?"):
+                self.add(page[at:i])
+                j = page.find("-->", i + 4) if page.startswith("<!--", i) else page.find(">", i)
+                if j < 0:
+                    return
+                at = page.index(">", j) + 1
                 continue
-            if m[3].rstrip().endswith("/") and name in ("svg", "math"):
+            tag = kind.isascii() and kind.isalpha() or kind == "/" and i + 2 < end
+            if tag and i > last:
+                self.add(page[at:i])  # a cut tag
+                return
+            m = TAG.match(page, i) if tag else None
+            if m is None:
+                if tag and kind == "/" and not page[i + 2].isalpha():
+                    self.add(page[at:i])
+                    at = page.index(">", i) + 1
+                else:
+                    self.add(page[at : i + 1])
+                    at = i + 1
                 continue
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else end
-        elif name in VOID:
-            if name in BLOCK:
-                flush()
-            elif name in ("br", "wbr"):
-                parts.append(" " if name == "br" else "")
-        else:
-            if name in BLOCK:
-                flush()
-                if name in _ENDS_P:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p":
-                            del stack[k:]
-                            break
-                        if stack[k][0] in BLOCK:
-                            break
-                    if name in ("li", "dd", "dt", "tr", "td", "th"):
-                        same = ("dd", "dt") if name in ("dd", "dt") else ("td", "th") if name in ("td", "th") else (name,)
-                        if stack and stack[-1][0] in same:
-                            stack.pop()
-            weight, hidden = names_weight(m[3]) if m[3] else (0.0, False)
-            weight += PLACE.get(name, 0.0) if not (name == "header" and any(x[0] == "article" for x in stack)) else -2.0
-            number += 1
-            stack.append((name, (stack[-1][1] if stack else 0.0) + weight - 20.0 * hidden, number, (stack[-1][3] if stack else 0) + (name == "a")))
-    flush()
-    return out
+            self.add(page[at:i])
+            at, name = m.end(), m[2].lower()
+            if m[1]:
+                if name in BLOCK:
+                    self.flush()
+                where = self.places.get(name)
+                if where and (name in BLOCK or not self.levels or self.levels[-1] < where[-1]):
+                    self.close(where[-1])
+            elif name in RAW:
+                if not (m[3].rstrip().endswith("/") and name in ("desc", "metadata", "defs", "annotation", "annotation-xml")):
+                    shut = _shut(name).search(page, at)
+                    at = shut.end() if shut else end
+            elif name in VOID:
+                if name in BLOCK:
+                    self.flush()
+                elif name in ("br", "wbr"):
+                    self.parts.append(" " if name == "br" else "")
+            elif name != "head":
+                if name in BLOCK:
+                    self.flush()
+                    if name in _ENDS_P and self.top_block() == "p":
+                        self.close(self.levels[-1])
+                    if name in _SAME and self.stack and self.stack[-1][0] in _SAME[name]:
+                        self.close(len(self.stack) - 1)
+                self.open(name, m[3])
+
+
+#: An open element of these names ends where one of the others begins.
+_SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+_SHUT: dict[str, re.Pattern] = {}
+
+
+def _shut(name: str) -> re.Pattern:
+    if name not in _SHUT:
+        _SHUT[name] = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+    return _SHUT[name]
+
+
+def blocks(page: str) -> list[Block]:
+    """Each block with text, in page order."""
+    return Parser(page).out
+
+
+def features(own: list[Block]) -> np.ndarray:
+    """(blocks, FEATURES): of the text and its place alone, nothing of the markup's names or of what stands around."""
+    n, words = len(own), [b.text.count(" ") + 1 for b in own]
+    rows = [(1.0, math.log(k), b.links, b.text[-1] in ".!?…:;\"'”»)", b.heading, b.paragraph, "©" in b.text, 2 * min(i, n - 1 - i) / n) for i, (b, k) in enumerate(zip(own, words))]
+    return np.array(rows, float).reshape(n, len(FEATURES))
+
+
+def odds(own: list[Block], weights: tuple[float, ...] = WEIGHTS) -> list[float]:
+    """Each block's log odds of content: what its text says, at most MOST and less if it is short, and the markup's prior."""
+    x = features(own)
+    said = np.clip(x @ np.array(weights), -MOST, MOST) * (1 - np.exp(-np.exp(x[:, 1]) / SHORT))
+    return [float(v) + b.prior for v, b in zip(said, own)]
 
 
 def costs(odds: float) -> tuple[float, float]:
@@ -154,42 +252,78 @@ def costs(odds: float) -> tuple[float, float]:
     return (abs(odds) + wrong, wrong) if odds > 0 else (wrong, abs(odds) + wrong)
 
 
-def closeness(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-    """The cost of unlike labels for two blocks with those paths."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return SMOOTH * DECAY ** max(0, len(a) + len(b) - 2 * same - 2)
+def edges(own: list[Block]) -> list[tuple[int, int, float]]:
+    """Costs of unlike labels: of neighbours in page order, and of blocks of one parent that others stand between."""
+    out = [(i - 1, i, SMOOTH * DECAY ** min(own[i].steps, 50)) for i in range(1, len(own))]
+    last: dict[int, int] = {}
+    for i, b in enumerate(own):
+        if (j := last.get(b.parent, i)) < i - 1:
+            out.append((j, i, APART))
+        last[b.parent] = i
+    return out
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Whether each node is on the source's side of a minimum cut, by maximum flow along shortest augmenting paths.
+    """Whether each node is on the source's side of a minimum cut; of equal cuts, that with the most nodes at the source.
 
-    Nodes whose terminals outweigh all their edges are settled first, which changes no minimum cut;
-    of equal cuts, the one with the most nodes at the source is taken.
+    First the network is reduced: a node with at most two neighbours is taken out, and what it lets flow
+    between them and the terminals becomes capacities of theirs (any cost of two labels for which unlike ones cost
+    more is a pair of terminals and an edge). Arcs over a page never cross, so such a node is always left
+    and the reduction alone settles a page, in linear time. What it leaves of other graphs is cut by
+    maximum flow. Labels are then read back in reverse order.
     """
     n = len(source)
+    pull = [s - t for s, t in zip(source, sink)]  # what calling a node boilerplate costs, less calling it content
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in edges:
         if a != b and w > 0:
             near[a][b] = near[a].get(b, 0.0) + w
             near[b][a] = near[b].get(a, 0.0) + w
-    pull, label, todo = [s - t for s, t in zip(source, sink)], [None] * n, deque(range(n))
+    todo, gone, order = deque(range(n)), [False] * n, []
     while todo:
         i = todo.popleft()
-        if label[i] is None and abs(pull[i]) > (total := sum(w for j, w in near[i].items() if label[j] is None)) or label[i] is None and not total:
-            label[i] = pull[i] >= 0
-            for j, w in near[i].items():
-                if label[j] is None:
-                    pull[j] += w if label[i] else -w
-                    todo.append(j)
-    rest = [i for i in range(n) if label[i] is None]
-    if not rest:
-        return label
-    s, t = n, n + 1
-    flow: dict[int, dict[int, float]] = {i: {j: w for j, w in near[i].items() if label[j] is None} for i in rest} | {s: {}, t: {}}
+        if gone[i] or len(near[i]) > 2:
+            continue
+        gone[i] = True
+        around = list(near[i].items())
+        order.append((i, pull[i], around))
+        for j, _ in around:
+            del near[j][i]
+            todo.append(j)
+        if len(around) == 1:
+            (j, w), p = around[0], pull[i]
+            # with j content: min(w, p if boilerplate is worse); the difference of j's two cases
+            pull[j] += max(-w, min(w, p))
+        elif len(around) == 2:
+            (j, v), (k, w), p = *around, pull[i]
+            # least cost over i's label, of labels (j, k); content costs max(0, -p), boilerplate max(0, p)
+            both = min(max(0.0, -p), max(0.0, p) + v + w)
+            none = min(max(0.0, -p) + v + w, max(0.0, p))
+            only_j = min(max(0.0, -p) + w, max(0.0, p) + v)
+            only_k = min(max(0.0, -p) + v, max(0.0, p) + w)
+            # none + x_j * a + x_k * b + e * (x_j xor x_k) / 2, solved for a, b, e
+            a = (only_j - only_k + both - none) / 2
+            b = (only_k - only_j + both - none) / 2
+            e = (only_j + only_k - both - none) / 2
+            pull[j] -= a
+            pull[k] -= b
+            if e > 0:
+                near[j][k] = near[j].get(k, 0.0) + e
+                near[k][j] = near[k].get(j, 0.0) + e
+    label: list[bool] = [False] * n
+    rest = [i for i in range(n) if not gone[i]]
+    if rest:
+        for i, x in zip(rest, _by_flow(rest, pull, near)):
+            label[i] = x
+    for i, p, around in reversed(order):
+        label[i] = p + sum(w if label[j] else -w for j, w in around) >= -1e-9
+    return label
+
+
+def _by_flow(rest: list[int], pull: list[float], near: list[dict[int, float]]) -> list[bool]:
+    """Labels of the nodes that are left, by maximum flow along shortest augmenting paths."""
+    s, t = -1, -2
+    flow: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest} | {s: {}, t: {}}
     for i in rest:
         flow[s][i], flow[i][s] = max(0.0, pull[i]), 0.0
         flow[i][t], flow[t][i] = max(0.0, -pull[i]), 0.0
@@ -218,23 +352,44 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
             if i not in boiler and flow[i][j] > 1e-12:
                 boiler.add(i)
                 queue.append(i)
-    for i in rest:
-        label[i] = i not in boiler
-    return label
+    return [i not in boiler for i in rest]
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: its content blocks, each with single spaces, joined by line ends."""
+def labelled(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> list[tuple[Block, float, bool]]:
+    """Each block with its log odds and whether it is content."""
     own = blocks(page or "")
-    terminals = [costs(b[1]) for b in own]
-    edges = [(i, i + 1, closeness(own[i][2], own[i + 1][2])) for i in range(len(own) - 1)]
-    last: dict[tuple[int, ...], int] = {}
-    for i, b in enumerate(own):  # and between blocks of one parent that others stand between
-        if (j := last.get(b[2][:-1])) is not None and j < i - 1:
-            edges.append((j, i, SMOOTH / 2))
-        last[b[2][:-1]] = i
-    keep = minimum_cut([x[0] for x in terminals], [x[1] for x in terminals], edges)
-    return "\n".join(b[0] for b, k in zip(own, keep) if k)
+    said = odds(own, weights)
+    terminals = [costs(x) for x in said]
+    return list(zip(own, said, minimum_cut([x[0] for x in terminals], [x[1] for x in terminals], edges(own))))
+
+
+def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
+    """The main text of a page: its content blocks, each with single spaces, joined by line ends."""
+    return "\n".join(b.text for b, _, k in labelled(page, weights) if k)
+
+
+def fit(pages: list[str], penalty: float = 0.02, rounds: int = 30) -> tuple[float, ...]:
+    """Weights of the classifier from blocks of pages that the markup labels: content with a prior of FOR or more, boilerplate with nearly AGAINST or less.
+
+    A bounded sample of pages, as a list; other blocks are not looked at. Logistic regression, both labels with
+    equal mass, with a penalty on what differs from EXPECTED: what the sample's pages have only in one form is
+    learned from them, what they hardly show stays as expected. The same for the same pages.
+    """
+    rows, label = [], []
+    for page in pages:
+        own = blocks(page)
+        marked = [k for k, b in enumerate(own) if b.prior >= FOR or b.prior <= AGAINST + FOR]
+        rows.append(features(own)[marked])
+        label += [own[k].prior > 0 for k in marked]
+    x, y = np.concatenate(rows), np.array(label, float)
+    mass = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    w = expected = np.array(EXPECTED)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (mass * (p - y)) + penalty * (w - expected)
+        bend = (x * (mass * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + penalty * np.eye(len(w))
+        w = w - np.linalg.solve(bend, slope)
+    return tuple(round(float(v), 2) for v in w)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -242,7 +397,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null html is empty. Whole pages are read; nothing but boilerplate is dropped. Cut and malformed
     pages are read as far as they go. Null ids and urls stay null, repeated rows repeat, other columns are
-    not read; an empty table gives none.
+    not read; an empty table gives none. A page takes time and memory in proportion to its length.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

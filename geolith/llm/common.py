@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only a session without that setting (a local one, as in tests) gets a temporary folder.
+    Only a local session without that setting (as in tests) gets a temporary folder: executors of a cluster don't share one.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = _own.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="geolith-")
         _own[spark.sparkContext.applicationId] = base

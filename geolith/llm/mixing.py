@@ -56,19 +56,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default: float
     A row's place in the global order is mix_key, a hash of seed, document and copy; partitions hold
     rows dealt out by it, each sorted. Rows with equal doc_id draw the same number, so repeated rows
     repeat alike; a null doc_id draws as the string null. Columns of docs named like the four are
-    replaced. Texts are not looked at. An empty table gives none. The rates go to all executors only
+    replaced, all others stay, whatever their names. Texts are not looked at. An empty table gives none. The rates go to all executors only
     if there are at most max_sources sources; otherwise they are joined by source.
     """
-    docs = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_parts", "mix_cdf", "mix_source")
-    by = tables(rates(docs, weights, default, total, size)).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.col("parts").alias("mix_parts"), F.col("cdf").alias("mix_cdf"))
+    docs = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key")
+    mark = next(m for k in range(len(docs.columns) + 1) if not any(c.lower().startswith(m := f"mix{'_' * (k + 2)}") for c in docs.columns))
+    source, parts, cdf, u = (f"{mark}{x}" for x in ("source", "parts", "cdf", "u"))  # names that no column of docs has
+    by = tables(rates(docs, weights, default, total, size)).select(F.col("source").alias(source), F.col("rate").alias("mix_rate"), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     few = docs.select("source").distinct().limit(max_sources + 1).count() <= max_sources
     by = F.broadcast(by) if few else by
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda acc, j: acc + F.size(F.filter(F.col("mix_cdf"), lambda c: c <= uniform(F.lit(str(seed)), doc, j.cast("string"))))
-    n = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), draw)
-    one = uniform(F.lit(str(seed)), doc, F.lit("1"))
-    df = docs.join(by, docs.source.cast("string").eqNullSafe(by.mix_source))
-    df = df.withColumn("mix_u", one).withColumn("mix_copies", F.when(F.col("mix_parts") == 1, F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))).otherwise(n))
+    draw = lambda acc, j: acc + F.size(F.filter(F.col(cdf), lambda c: c <= uniform(F.lit(str(seed)), doc, j.cast("string"))))
+    n = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), draw)
+    df = docs.join(by, F.col("source").cast("string").eqNullSafe(F.col(source)))
+    df = df.withColumn(u, uniform(F.lit(str(seed)), doc, F.lit("1"))).withColumn("mix_copies", F.when(F.col(parts) == 1, F.size(F.filter(cdf, lambda c: c <= F.col(u)))).otherwise(n))
     df = df.where(F.col("mix_copies") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     df = df.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), doc, F.col("mix_copy").cast("string"))))
     return df.select(*docs.columns, "mix_rate", "mix_copies", "mix_copy", "mix_key").repartition(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")

@@ -124,6 +124,8 @@ def test_mixing(spark):
     odd = spark.createDataFrame([(None, None, None), (None, None, None), (1, "", "s")], "doc_id long, text string, source string")
     assert mixing.mix(odd).count() == 2 * brute_copies("null", 0.75) + brute_copies(1, 1.5)
     assert mixing.mix(odd.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "s", 7.0, 8, 9, "x", "y")], "doc_id long, source string, mix_u double, mix_parts int, mix__u int, MIX___U string, mix_cdf string")
+    assert [tuple(r)[:7] for r in mixing.mix(clash, total=3).collect()] == [(1, "s", 7.0, 8, 9, "x", "y")] * brute_copies(1, 3.0)
     plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 

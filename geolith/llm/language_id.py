@@ -24,10 +24,14 @@ from geolith.llm.common import give_back, stored, texts_of
 from geolith.llm.words import pieces
 
 DIMS = 4096
+#: Bytes of a long text that are looked at together.
+WINDOW = 1 << 20
 #: Documents of a language that are looked at for fitting, at most about; and its clusters, at most.
 SAMPLE, CLUSTERS = 800, 4
+#: A cluster with a smaller share of its language's sample is left out: it is of texts in another language or of none.
+SHARE = 0.02
 #: A text is rejected if its cosine is under MARGIN times the quantile LOW of the rightly labelled training texts of its language and length class.
-MARGIN, LOW = 0.7, 0.005
+MARGIN, LOW = 0.8, 0.005
 #: A class with fewer training texts takes the level of the nearest shorter one, else of the nearest longer one, times SHORTER for each class between.
 ENOUGH, SHORTER = 20, 0.6
 #: Length classes, and bins of cosines from 0 to 1 that are counted for the quantile.
@@ -41,23 +45,39 @@ def has_letter(text: str) -> bool:
     return bool(_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
-def counts(column: pa.Array) -> np.ndarray:
-    """(texts, DIMS): counts of hashed n-grams, whole texts between spaces; runs of spaces count as one."""
-    raw = [b" " + (x.as_py() or "").encode("utf-8", "surrogatepass") + b" " for x in column]
-    data = _TABLE[np.frombuffer(b"".join(raw), np.uint8)].astype(np.uint32)
-    text = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
-    keep = np.concatenate([[True], (data[1:] != 32) | (data[:-1] != 32) | (text[1:] != text[:-1])])[: len(data)]
-    data, text = data[keep], text[keep]
-    out = np.zeros(len(raw) * DIMS, np.int64)
+def _grams(data: np.ndarray, text: np.ndarray, out: np.ndarray, since: int = 0) -> None:
+    """Add the n-grams of data (mapped bytes, with the text of each) that end at byte `since` or later to out (texts * DIMS)."""
     for n in (2, 3):
         if len(data) < n:
             continue
-        code = data[: len(data) - n + 1].copy()
+        skip = max(0, since - n + 1)
+        code = data[skip : len(data) - n + 1].copy()
         for k in range(1, n):
-            code = code << np.uint32(8) | data[k : len(data) - n + 1 + k]
+            code = code << np.uint32(8) | data[skip + k : len(data) - n + 1 + k]
         place = (code * np.uint32(0x9E3779B1) + np.uint32(n)) >> np.uint32(20)
-        inside = text[: len(text) - n + 1] == text[n - 1 :]
-        out += np.bincount(text[: len(text) - n + 1][inside] * DIMS + place[inside], minlength=len(out))
+        own = text[skip : len(text) - n + 1]
+        inside = own == text[skip + n - 1 :]
+        out += np.bincount(own[inside] * DIMS + place[inside], minlength=len(out))
+
+
+def counts(column: pa.Array) -> np.ndarray:
+    """(texts, DIMS): counts of hashed n-grams, whole texts between spaces; runs of spaces count as one. A long text goes in windows."""
+    raw = [b" " + (x.as_py() or "").encode("utf-8", "surrogatepass") + b" " for x in column]
+    out = np.zeros(len(raw) * DIMS, np.int64)
+    if len(raw) == 1 and len(raw[0]) > WINDOW:
+        before = np.zeros(0, np.uint32)  # the last two bytes that were kept
+        for i in range(0, len(raw[0]), WINDOW):
+            data = _TABLE[np.frombuffer(raw[0], np.uint8, min(WINDOW, len(raw[0]) - i), i)].astype(np.uint32)
+            last = before[-1] if len(before) else 0
+            data = data[(data != 32) | (np.concatenate([[last], data[:-1]]) != 32)]
+            data = np.concatenate([before, data])
+            _grams(data, np.zeros(len(data), np.int64), out, len(before))
+            before = data[-2:]
+        return out.reshape(1, DIMS).astype(np.float32)
+    data = _TABLE[np.frombuffer(b"".join(raw), np.uint8)].astype(np.uint32)
+    text = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+    keep = np.concatenate([[True], (data[1:] != 32) | (data[:-1] != 32) | (text[1:] != text[:-1])])[: len(data)]
+    _grams(data[keep], text[keep], out)
     return out.reshape(len(raw), DIMS).astype(np.float32)
 
 
@@ -100,7 +120,8 @@ def cluster(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         own = (v @ c.T).argmax(axis=1)
         c = np.array([v[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return c
+    size = np.bincount((v @ c.T).argmax(axis=1), minlength=len(c))
+    return c[size >= max(1, SHARE * len(v))]
 
 
 @dataclass

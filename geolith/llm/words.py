@@ -1,11 +1,15 @@
 """Words of whole texts as numpy arrays: spans, 64-bit hashes, and hashes of runs of words.
 
-A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums and mixed; a
-run's hash is a polynomial over its words' hashes. All texts of an Arrow column go in one pass.
+A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums and mixed; that of a word
+over LONG bytes, where such polynomials have systematic collisions, is cryptographic. A run's hash is a
+polynomial over its words' hashes. Texts of an Arrow column go together, bytes and words in blocks, so
+what is held beside the text is some 30 bytes a word.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,7 +32,7 @@ class Powers:
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums of values[i] * base**i."""
         if len(values) >= len(self.up):
-            n = 2 * len(values) + 1
+            n = len(values) + len(values) // 4 + 1
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(n, b, U)])) for b in (self.base, self.inverse))
         out = np.zeros(len(values) + 1, U)
         np.cumsum(values * self.up[: len(values)], out=out[1:])
@@ -40,6 +44,8 @@ class Powers:
 
 
 _BYTES, _WORDS, _WORDS2 = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
+#: Bytes, and words, that are hashed at a time; and the length from which a word is hashed by itself.
+BYTES, RUNS, LONG = 1 << 20, 1 << 18, 256
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -49,6 +55,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def _blocks(places: np.ndarray, size: int):
+    """Index ranges of ascending places, each over at most about size places."""
+    if len(places):
+        cuts = np.searchsorted(places, np.arange(int(places[0]) + size, int(places[-1]) + 1, size))
+        edges = np.unique(np.concatenate([[0], cuts, [len(places)]])).tolist()
+        yield from zip(edges[:-1], edges[1:])
+
+
 class Words:
     """The words of some texts: spans in bytes, first[i]:first[i + 1] the words of text i, hash of each word."""
 
@@ -57,19 +71,36 @@ class Words:
         at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
         data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         self.data, self.at = data, at - at[0]
-        word = ~WHITE[data]
-        starts, ends = word.copy(), word.copy()
-        starts[1:] &= ~word[:-1]
-        ends[:-1] &= ~word[1:]
-        edge = self.at[:-1][self.at[:-1] < len(data)]
-        starts[edge] = word[edge]
-        edge = self.at[1:][self.at[1:] > 0] - 1
-        ends[edge] = word[edge]
-        self.starts, self.ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        edge = np.unique(self.at)  # no word goes over the end of a text
+        starts, ends = [], []
+        for i in range(0, len(data), BYTES):
+            j = min(len(data), i + BYTES)
+            word = ~WHITE[data[max(0, i - 1) : j + 1]]  # with a byte before and behind
+            if i == 0:
+                word = np.concatenate([[False], word])
+            if j == len(data):
+                word = np.concatenate([word, [False]])
+            new = np.zeros(j - i + 1, bool)
+            own = edge[np.searchsorted(edge, i) : np.searchsorted(edge, j, "right")] - i
+            new[own] = True
+            starts.append(np.flatnonzero(word[1:-1] & (~word[:-2] | new[:-1])) + i)
+            ends.append(np.flatnonzero(word[1:-1] & (~word[2:] | new[1:])) + i + 1)
+        none = np.zeros(0, np.int64)
+        self.starts, self.ends = np.concatenate([none, *starts]), np.concatenate([none, *ends])
         self.first = np.searchsorted(self.starts, self.at)
         self.counts = np.diff(self.first)
-        values = (_LOWER[data] if lower else data).astype(U) + U(1)
-        self.hash = mixed(_BYTES.between(_BYTES.sums(values), self.starts, self.ends))
+        self.hash = np.empty(len(self.starts), U)
+        long = np.flatnonzero(self.ends - self.starts > LONG)
+        short = np.flatnonzero(self.ends - self.starts <= LONG) if len(long) else np.arange(len(self.starts))
+        for i, j in _blocks(self.starts[short], BYTES):
+            own = short[i:j]
+            low, high = self.starts[own[0]], self.ends[own[-1]]
+            part = data[low:high]
+            sums = _BYTES.sums((_LOWER[part] if lower else part).astype(U) + U(1))
+            self.hash[own] = mixed(_BYTES.between(sums, self.starts[own] - low, self.ends[own] - low))
+        for i in long:
+            part = data[self.starts[i] : self.ends[i]]
+            self.hash[i] = int.from_bytes(hashlib.blake2b((_LOWER[part] if lower else part).tobytes(), digest_size=8).digest(), "little")
 
     def text_of(self) -> np.ndarray:
         """For each word its text."""
@@ -79,13 +110,20 @@ class Words:
         """For each word the words from it to its text's end, itself included."""
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.starts))
 
+    def _runs(self, powers: Powers, hashes: np.ndarray, first: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+        out, last = np.empty(len(first), U), first + n
+        for i, j in _blocks(first, RUNS):
+            low, high = int(first[i]), int(last[i:j].max())
+            out[i:j] = powers.between(powers.sums(hashes[low:high]), first[i:j] - low, last[i:j] - low)
+        return mixed(out)
+
     def runs(self, first: np.ndarray, n: int | np.ndarray) -> np.ndarray:
-        """64-bit hashes of the runs of n words from first."""
-        return mixed(_WORDS.between(_WORDS.sums(self.hash), first, first + n))
+        """64-bit hashes of the runs of n words from first, which ascends."""
+        return self._runs(_WORDS, self.hash, first, n)
 
     def runs2(self, first: np.ndarray, n: int) -> np.ndarray:
         """32 more bits, of other powers and other hashes of the words."""
-        return (mixed(_WORDS2.between(_WORDS2.sums(mixed(self.hash + U(0x632BE59BD9B4E019))), first, first + n)) >> U(32)).astype(np.uint32)
+        return (self._runs(_WORDS2, mixed(self.hash + U(0x632BE59BD9B4E019)), first, n) >> U(32)).astype(np.uint32)
 
     def split(self, i: int) -> list[bytes]:
         """The words of text i."""

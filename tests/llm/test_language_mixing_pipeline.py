@@ -60,6 +60,84 @@ def test_language_id_rejects_unlearned_languages_and_junk_of_any_length(spark, s
     assert not language_id.identify(long, model).where("rejected").count()
 
 
+def brute_model(rows, langs):
+    """The method in plain words over labelled (id, lang, text) rows: idf and levels of all of them, centroids of at most a sample's clusters."""
+    tf = np.concatenate([language_id.counts(pa.array([x])) for *_, x in rows])
+    lang = np.array([x for _, x, _ in rows])
+    df = (tf > 0).sum(axis=0)
+    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
+    own, names = [], []
+    for x in sorted(langs):
+        v = language_id.vectors(np.array(sorted((r for r in tf[lang == x]), key=lambda r: r.tobytes())), idf)
+        c = language_id.cluster(v, language_id.CLUSTERS)
+        own.append(c)
+        names += [x] * len(c)
+    return tf, lang, idf, names, np.concatenate(own)
+
+
+def test_language_id_equals_brute_force(spark, sf_dir):
+    """Every row's language, score and rejection, from dense vectors, one text at a time; the sample holds all rows here."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text").collect()]
+    rows = [r for r in docs if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[1] and r[2] and language_id.has_letter(r[2])]
+    tf, lang, idf, names, centroids = brute_model(rows, {x for _, x, _ in rows})
+    unit = lambda v: v / max(1e-9, float(np.linalg.norm(v)))
+    cos = lambda t: [float(unit(np.log1p(t) * idf) @ c) for c in centroids]
+    size = lambda t: int(math.log2(max(1, (t > 0).sum())))
+    seen = {}
+    for t, x in zip(tf, lang):
+        sims = cos(t)
+        if names[int(np.argmax(sims))] == x:
+            seen.setdefault((x, size(t)), []).append(min(language_id.BINS - 1, int(min(1, max(sims)) * language_id.BINS)))
+
+    def level(of):
+        full = {s: sorted(b) for s, b in of.items() if len(b) >= language_id.ENOUGH}
+        at = {s: b[int(language_id.LOW * len(b))] / language_id.BINS for s, b in full.items()}
+        first = min(at, default=None)
+        return None if first is None else [at[max(k for k in at if k <= s)] if s >= first else at[first] * language_id.SHORTER ** (first - s) for s in range(language_id.CLASSES)]
+
+    every = {}
+    for (_, s), b in seen.items():
+        every.setdefault(s, []).extend(b)
+    levels = {x: level({s: b for (y, s), b in seen.items() if y == x}) or level(every) for x in set(names)}
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(docs) and len(rows) < language_id.SAMPLE
+    for doc, _, text in docs:
+        r, t = got[doc], language_id.counts(pa.array([text]))[0]
+        if not language_id.has_letter(text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        sims = cos(t)
+        best = int(np.argmax(sims))
+        assert r.lang_pred == names[best] and abs(r.score - max(sims)) < 1e-5
+        least = language_id.MARGIN * levels[names[best]][size(t)]
+        assert r.rejected == (max(sims) < least) or abs(max(sims) - least) < 1e-5
+
+
+def test_language_id_rejects_each_language_that_it_did_not_learn():
+    """Fitted without one of the four languages of the test data: at least 0.8 of that one's texts go, at most 0.01 of the held-out others."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, lang, text FROM '/root/testdata/sf0.1/documents.parquet' WHERE lang IS NOT NULL AND text IS NOT NULL AND doc_id % 4 < 2 ORDER BY doc_id").fetchall()
+    rows = [r for r in rows if language_id.has_letter(r[2])]
+    tf = np.concatenate([language_id.counts(p) for _, p in language_id.pieces(pa.array([x for *_, x in rows]))])
+    lang, held = np.array([r[1] for r in rows]), np.array([zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows])
+    for out in sorted(set(lang)):
+        train = ~held & (lang != out)
+        df = (tf[train] > 0).sum(axis=0)
+        idf = (np.log((1 + train.sum()) / (1 + df)) + 1).astype(np.float32)
+        own = {x: language_id.cluster(language_id.vectors(tf[train & (lang == x)][: language_id.SAMPLE], idf), language_id.CLUSTERS) for x in sorted(set(lang[train]))}
+        names = [x for x, c in own.items() for _ in c]
+        model = language_id.Model(idf, names, np.concatenate(list(own.values())), np.zeros((len(names), language_id.CLASSES)))
+        best, score = model.nearest(tf[train])
+        right, size, uniq = np.array(names)[best] == lang[train], language_id.length_class(tf[train]), sorted(own)
+        seen = np.zeros((len(uniq), language_id.CLASSES, language_id.BINS), int)
+        np.add.at(seen, (np.array([uniq.index(x) for x in lang[train]])[right], size[right], np.minimum((score[right] * language_id.BINS).astype(int), language_id.BINS - 1)), 1)
+        model.least = language_id.levels(seen)[[uniq.index(x) for x in names]]
+        best, score = model.nearest(tf)
+        gone = score < model.least[best, language_id.length_class(tf)]
+        assert gone[lang == out].mean() >= 0.8 and gone[held & (lang != out)].mean() <= 0.01, (out, gone[lang == out].mean(), gone[held & (lang != out)].mean())
+
+
 def test_language_frequencies_come_from_all_rows(spark):
     rows = [(i, "plain words of text" + (" zqx" if i == 7 else ""), "en") for i in range(200)] + [(None, "never zzz", "en"), (300, "none zzz", None), (301, "12", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -9,7 +9,9 @@ the spaces before it, and word numbers give offsets into the original.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from geolith.llm.common import stored, text_column, texts_of
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TABLE = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x > 127 else 32 for x in range(256))
 _LOWER = {x: x + 32 for x in range(65, 91)}
+#: Text of the windows of one automaton, which takes some 50 times that much in each worker.
+MAX_MB = 8
 SCANNED = "doc_id long, n_words long, words array<int>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -71,49 +75,66 @@ def occurrences(tree, text: str) -> tuple[int, list[tuple[int, int, list[str]]]]
     return len(words), [(int(spaces[end]) - 1 - k, int(spaces[end]) - 1, items) for end, (k, items) in found]
 
 
+_TREES: dict[str, object] = {}
+
+
+def _tree(name: str, rows):
+    """This worker's automaton of that name, built once; one of a block before makes room for it. rows: a broadcast list of windows."""
+    if name not in _TREES:
+        _TREES.clear()
+        _TREES[name] = automaton(rows.value)
+    return _TREES[name]
+
+
 def scan(docs: DataFrame, rows: list[tuple[bytes, list[str]]], text: bool = False) -> DataFrame:
-    """SCANNED, with text if asked for: the hit words and occurring items of each row, added to those it has already."""
+    """row, SCANNED, with text if asked for: the hit words and occurring items of each row (row, doc_id, text)."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = automaton(rows)
+        tree = _tree(name, shared)
         for batch in batches:
             n, hit, items = [], [], []
-            for t, old_hit, old_items in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                k, found = occurrences(tree, t)
+            for t in batch.column(2):
+                k, found = occurrences(tree, t.as_py() or "")
                 n.append(k)
-                hit.append(sorted({w for i, j, _ in found for w in range(i, j)}.union(old_hit or ())))
-                items.append(sorted({x for *_, own in found for x in own}.union(old_items or ())))
-            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out + [batch.column(1)] * text, ["doc_id", "n_words", "words", "items"] + ["text"] * text)
+                hit.append(sorted({w for i, j, _ in found for w in range(i, j)}))
+                items.append(sorted({x for *_, own in found for x in own}))
+            out = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(out + [batch.column(2)] * text, ["row", "doc_id", "n_words", "words", "items"] + ["text"] * text)
 
-    return docs.select("doc_id", "text", "words", "items").mapInArrow(go, SCANNED + ", text string" * text)
+    return docs.select("row", "doc_id", "text").mapInArrow(go, "row long, " + SCANNED + ", text string" * text)
 
 
-def blocks(table: DataFrame, max_mb: int = 32) -> list[list[tuple[bytes, list[str]]]]:
-    """The windows in lists of at most about max_mb MB of text: one for any usual benchmark.
+def blocks(table: DataFrame, max_mb: int = MAX_MB) -> Iterator[list[tuple[bytes, list[str]]]]:
+    """The windows in lists of at most about max_mb MB of text: one, perhaps empty, for any usual benchmark.
 
-    The driver holds the whole benchmark, a stated query set; the automaton of one list takes some 50 times its text.
+    The driver holds one list at a time, and so does a worker; its automaton takes some 50 times its text.
     """
-    out, size = [[]], 0
+    out, size, any_ = [], 0, False
     for r in table.toLocalIterator():
         if size > max_mb << 20:
-            out.append([])
-            size = 0
-        out[-1].append((bytes(r.window), list(r.items)))
+            yield out
+            out, size, any_ = [], 0, True
+        out.append((bytes(r.window), list(r.items)))
         size += len(r.window)
-    return out
+    if out or not any_:
+        yield out
 
 
-def scan_all(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = 32, text: bool = False) -> DataFrame:
-    """SCANNED over all windows. Of several blocks, each but the last is scanned into a table first, so a worker holds one automaton."""
-    df = text_column(docs, "doc_id", "text", F.lit(None).cast("array<int>").alias("words"), F.lit(None).cast("array<string>").alias("items"))
-    *others, last = blocks(windows(benchmark, n), max_mb)
-    for rows in others:
-        df = stored(scan(df, rows, True), "scanned")
-    return scan(df, last, text)
+def scan_all(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = MAX_MB, text: bool = False) -> DataFrame:
+    """SCANNED over all windows. Of several blocks each scans the texts in place and keeps its hits alone, which are then put together by row."""
+    df = text_column(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    every = blocks(stored(windows(benchmark, n), "windows"), max_mb)
+    first = scan(df, next(every), text)
+    hits = [stored(scan(df, rows).where("size(words) > 0").select("row", "words", "items"), "hits") for rows in every]
+    if not hits:
+        return first.drop("row")
+    more = reduce(DataFrame.unionByName, hits).groupBy("row").agg(F.flatten(F.collect_list("words")).alias("more_words"), F.flatten(F.collect_list("items")).alias("more_items"))
+    both = lambda c: F.array_sort(F.array_distinct(F.concat(c, F.coalesce(f"more_{c}", F.array().cast(dict(more.dtypes)[f"more_{c}"]))))).alias(c)
+    return first.join(more, "row", "left").select("doc_id", "n_words", both("words"), both("items"), *(["text"] if text else []))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = 32) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = MAX_MB) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256, contaminated: a row per row of docs.
 
     A null or wordless text has no words and no hits; items without words have no window; an item of
@@ -128,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: in
     )
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = 32) -> DataFrame:
+def spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = MAX_MB) -> DataFrame:
     """doc_id, first, last, items: maximal runs of hit words as character offsets (half open) of the original text, for texts with hits."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +165,23 @@ def spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = 32)
     return hits.select("doc_id", "text", "words", "items").mapInArrow(go, "doc_id long, first long, last long, items array<string>")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = 32) -> DataFrame:
-    """The rows of docs, with all their columns, that no window of the benchmark occurs in; null texts stay."""
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = MAX_MB) -> DataFrame:
+    """The rows of docs, with all their columns, that no window of the benchmark occurs in; null texts stay. Of several blocks each goes over what the one before left."""
 
     def without(rows):
+        shared, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
+
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree = automaton(rows)
+            tree = _tree(name, shared)
             for batch in batches:
-                texts = texts_of(batch.column(batch.schema.get_field_index("text")))
-                yield batch.filter(pa.array([not occurrences(tree, t)[1] for t in texts], pa.bool_()))
+                texts = batch.column(batch.schema.get_field_index("text"))
+                yield batch.filter(pa.array([not occurrences(tree, t.as_py() or "")[1] for t in texts], pa.bool_()))
 
         return go
 
-    *others, last = blocks(windows(benchmark, n), max_mb)
-    for rows in others:
-        docs = stored(docs.mapInArrow(without(rows), docs.schema), "clean")
+    last = None
+    for rows in blocks(stored(windows(benchmark, n), "windows"), max_mb):
+        if last is not None:
+            docs = stored(docs.mapInArrow(without(last), docs.schema), "clean")
+        last = rows
     return docs.mapInArrow(without(last), docs.schema)

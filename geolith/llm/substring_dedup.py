@@ -8,7 +8,9 @@ first; windows around anchors that occur in more than one document are then comp
 Documents are dealt into buckets. A bucket sends each other bucket ("dealer") the sorted distinct
 hashes that fall to it and gets a bit for each in return; it computes the same list again when it
 reads the bits. So a hash that any number of documents share is sent once by a bucket, no pairs
-are made, and all that moves besides the texts is 8 bytes an anchor and 20 a candidate window.
+are made, and all that moves besides the texts is 8 bytes an anchor and 20 a candidate window. Buckets
+are of a set size, so their number grows with the text; a bucket sends nothing to dealers for
+which it has no hash, so there are never more messages than anchors, however many buckets there are.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from geolith.llm.words import U, Words, pieces
 #: Fixed: a perfect difference set modulo 31; every nonzero difference occurs once.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 WINDOW = 50
+#: Text of a bucket, which one Python worker holds.
+BUCKET_MB = 48
 #: Stands for a null doc_id: it is behind all others.
 LAST = np.iinfo(np.int64).max
 MESSAGE = "dst int, src int, kind int, data binary"
@@ -36,11 +40,6 @@ def _ids(col: pa.ChunkedArray) -> np.ndarray:
     return np.array([LAST if x is None else x for x in col.to_pylist()], np.int64)
 
 
-def _column(table: pa.Table, name: str) -> pa.Array:
-    got = table.column(name).combine_chunks()
-    return got.chunk(0) if isinstance(got, pa.ChunkedArray) else got
-
-
 def _cut(hashes: np.ndarray, n: int) -> np.ndarray:
     """Where sorted hashes pass from one of n dealers to the next."""
     bounds = np.array([(k << 64) // n for k in range(1, n)], U)
@@ -53,8 +52,10 @@ class Bucket:
     def __init__(self, table: pa.Table, window: int):
         self.window, self.anchor = window, window - PERIOD + 1
         self.ids = _ids(table.column("doc_id"))
-        self.column = _column(table, "text")
-        self.parts = list(pieces(self.column, 1 << 20, 4096))
+        self.parts, start = [], 0
+        for chunk in table.column("text").chunks:  # never put together: an Arrow string array ends at 2 GiB
+            self.parts += [(start + i, part) for i, part in pieces(chunk, 1 << 20, 4096)]
+            start += len(chunk)
         self.anchors = []  # per piece: positions and hashes
         for _, w in self.pieces():
             place = np.arange(len(w.starts)) - np.repeat(w.first[:-1], w.counts)
@@ -118,6 +119,12 @@ def _unpack(bits: dict[int, bytes], cuts: np.ndarray) -> np.ndarray:
     return out
 
 
+def bucket_number(docs: DataFrame) -> int:
+    """Buckets of about BUCKET_MB of text, at least two for each shuffle partition. A document that is longer makes its bucket as long."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(2 * partitions(docs.sparkSession), -(-size // (BUCKET_MB << 20)))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space), removed (first word and
     the word after the last, of each removed run): a row per row of docs.
@@ -130,7 +137,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) ->
     """
     if window < PERIOD:
         raise ValueError(f"a window takes at least {PERIOD} words")
-    n = buckets or 2 * partitions(docs.sparkSession)
+    n = buckets or bucket_number(docs)
 
     def send(table: pa.Table) -> pa.Table:
         src = table.column("bucket")[0].as_py()

@@ -52,6 +52,37 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key from which it is hot, and keys that are hot at most: one of so many more has less than its share of the rows.
+HOT, HOT_KEYS, SALTS = 1000, 100_000, 32
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """key: the values of more than max(HOT, rows / HOT_KEYS) rows each, so fewer than HOT_KEYS by their very count; None without any.
+
+    Counts are summed in part before they are moved.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("hot_n"))
+    found = stored(counts.where(F.col("hot_n") > HOT), "hot")
+    if found.isEmpty():
+        return None
+    limit = max(HOT, rows.count() // HOT_KEYS)
+    return found.where(F.col("hot_n") > limit).select(key)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
+    """left joined with right on key, by merging; rows of left with a hot key are dealt to SALTS tasks a key by a hash of column `by`, and right's rows of it go to each.
+
+    So a key that a third of left's rows share is no one task's. Meant for a right side with few rows a key. Only hot keys are broadcast, at most HOT_KEYS.
+    """
+    if hot is None:
+        return left.join(right.hint("merge"), key, how)
+    marks = F.broadcast(hot.select(F.col(key).alias("hot_key"), F.lit(True).alias("is_hot")))
+    mark = lambda df: df.join(marks, F.col(key) == F.col("hot_key"), "left").drop("hot_key")
+    salted = mark(left).withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    copies = mark(right).withColumn("salt", F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.drop("is_hot").join(copies.drop("is_hot").hint("merge"), [key, "salt"], how).drop("salt")
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end: Python workers live on, and the next stage needs room too."""
     pa.default_memory_pool().release_unused()

@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geolith.llm.common import give_back, stored, text_column
+from geolith.llm.common import give_back, hot_keys, join_hot, stored, text_column
 from geolith.llm.words import U, Words, mixed, pieces
 
 #: Samples in a band, and bands: at similarity 0.8 a pair shares no band with probability 6e-7.
@@ -47,6 +48,9 @@ def shingle_sets(column: pa.Array, shingle: int, lower: bool = True) -> tuple[np
     n = w.counts[text[short]]
     h = np.concatenate([w.runs(full, shingle), mixed(w.runs(short, n) + n.astype(U))])
     text = np.concatenate([text[full], text[short]])
+    if len(w.counts) == 1:
+        h = np.unique(h)
+        return np.zeros(len(h), np.int64), h
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])[: len(h)]
@@ -123,6 +127,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
         for batch in batches:
             for start, part in pieces(batch.column(2)):
                 (ta, ha), (tb, hb) = shingle_sets(part, shingle), shingle_sets(batch.column(3).slice(start, len(part)), shingle)
+                if len(part) == 1:  # perhaps long ones
+                    both = np.array([np.count_nonzero(hb[np.minimum(np.searchsorted(hb, ha), len(hb) - 1)] == ha) if len(hb) else 0])
+                    keep = pa.array((100 * both >= percent * (len(ha) + len(hb) - both)) & (both > 0))
+                    yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, 1).filter(keep) for k in (0, 1)], ["a", "b"])
+                    continue
                 t, h = np.concatenate([ta, tb]), np.concatenate([ha, hb])
                 order = np.lexsort((h, t))
                 t, h = t[order], h[order]
@@ -152,6 +161,21 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """labels (doc, comp) after more edges (a, b): only the components that the new edges touch are looked at again."""
+    if labels is None:
+        return components(edges)
+    of = lambda x: labels.select(F.col("doc").alias(x), F.col("comp").alias(f"comp_{x}"))
+    named = stored(edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("comp_a", "a").alias("comp_a"), F.coalesce("comp_b", "b").alias("comp_b")), "ends")
+    between = named.where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
+    if between.isEmpty():
+        return labels
+    up = components(between).select(F.col("doc").alias("comp"), F.col("comp").alias("top"))
+    new = named.select(F.col("a").alias("doc")).unionByName(named.select(F.col("b").alias("doc"))).distinct().join(labels, "doc", "left_anti").withColumn("comp", F.col("doc"))
+    every = labels.select("doc", "comp").unionByName(new.select("doc", "comp"))
+    return stored(every.join(up, "comp", "left").select("doc", F.coalesce("top", "comp").alias("comp")), "labels")
+
+
 def rare_members(texts: DataFrame, shingle: int, percent: int, most: int = 200_000) -> DataFrame:
     """key, doc, left: the rarest n - ceil(percent * n / 100) + 1 shingles of each text (doc, text), in an order common to all, and how many shingles are left from each on.
 
@@ -193,10 +217,11 @@ def links(members: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int,
     """doc, comp over members (key, doc): components of all confirmed pairs that share a key; None if nothing links.
 
     facts: doc, n, odd; texts: doc, text. Centres of a round: one of each band's group, then 8, 64, ... of each rare shingle's.
+    Joins by key spread the rows of hot groups over tasks; groups are otherwise only summed up in part before they are moved.
     """
     limit, tested = odd_limit(percent / 100), []
     a, b = (facts.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
-    edges, labels = [], None
+    labels = None
 
     def named(rows: DataFrame) -> DataFrame:
         rows = rows.drop("comp")
@@ -204,54 +229,47 @@ def links(members: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int,
             return rows.withColumn("comp", F.col("doc"))
         return rows.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
-    def unsettled(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc").alias("least")).where("low < high")
-
     def compare(pairs: DataFrame) -> DataFrame | None:
         """labels after the pairs (c, c_comp, doc, comp) that are worth it were confirmed."""
         new = pairs.where(F.col("c_comp") != F.col("comp")).select(F.least("c", "doc").alias("a"), F.greatest("c", "doc").alias("b")).distinct()
-        for old in tested:
-            new = new.join(old, ["a", "b"], "left_anti")
+        if tested:
+            new = new.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
         new = stored(new, "pairs")
         tested.append(new)
         alike = new.join(a, "a").join(b, "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_xor(F.col("odd_a"), F.col("odd_b")) <= limit)).select("a", "b")
         found = stored(confirmed(alike, texts, shingle, percent), "links")
-        if found.isEmpty():
-            return labels
-        edges.append(found)
-        every = edges[0]
-        for e in edges[1:]:
-            every = every.unionByName(e)
-        return components(every)
-
-    rows = named(members)
-    rows = rows.join(unsettled(rows).select("key", "least"), "key")
-    centres = rows.where("doc = least").select("key", F.col("doc").alias("c"), F.col("comp").alias("c_comp")).distinct()
-    rest = stored(rows.where("doc <> least").drop("least"), "members")
-    labels = compare(rest.join(centres, "key"))
-    rest = named(rest)
-    live = rest.join(unsettled(rest).select("key"), "key", "left_semi").select("doc").distinct()
+        return labels if found.isEmpty() else joined(labels, found)
+
+    hot = hot_keys(members, "key")
+    least = members.groupBy("key").agg(F.min("doc").alias("c"))
+    rest = stored(join_hot(members, least, "key", hot, "doc").where("doc <> c"), "members")
+    labels = compare(rest.select("c", F.col("c").alias("c_comp"), "doc", F.col("doc").alias("comp")))
+    rest = named(rest.select("key", "doc"))
+    open_ = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    live = stored(join_hot(rest, open_, "key", hot, "doc").select("doc").distinct(), "live")
     live = stored(texts.join(live, "doc", "left_semi"), "unsettled")
     if live.isEmpty():
         return labels
     sizes = facts.select("doc", "n")
     rest, count = stored(rare_members(live, shingle, percent).join(sizes, "doc"), "rare"), 8
+    hot = hot_keys(rest, "key")
     enough = (100 + percent) * F.least("left", "c_left") >= percent * (F.col("n") + F.col("c_n"))
     while True:
         rows = named(rest)
         # members that could not share enough with the smallest one of the group are done
-        open_ = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least_n")).where("low < high").select("key", "least_n")
-        rows = stored(rows.join(open_, "key").where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("least_n"))).drop("least_n"), "members")
+        comps = rows.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min("n").alias("least_n"))
+        open_ = comps.groupBy("key").agg(F.count("*").alias("comps"), F.min("least_n").alias("least_n"), F.max_by("comp", F.struct("size", "comp")).alias("largest")).where("comps > 1").drop("comps")
+        rows = stored(join_hot(rows, open_, "key", hot, "doc").where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("least_n"))).drop("least_n"), "members")
         if rows.isEmpty():
             return labels
-        # members of small components come first: once they were centres, a group's largest component is alone
-        size = rows.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        rows = rows.join(size, ["key", "comp"]).withColumn("order", F.struct("size", "comp", "doc")).drop("size")
-        order = Window.partitionBy("key").orderBy("order")
-        centres = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("key", "order", F.col("doc").alias("c"), F.col("comp").alias("c_comp"), F.col("left").alias("c_left"), F.col("n").alias("c_n"))
+        # members outside of the group's largest component come first: once they were centres, it is alone
+        rows = rows.withColumn("order", F.struct((F.col("comp") == F.col("largest")).alias("large"), "comp", "doc")).drop("largest")
+        order = Window.partitionBy("key").orderBy("order")  # limits run before rows are moved
+        centres = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
+        centres = stored(centres.select("key", "order", F.col("doc").alias("c"), F.col("comp").alias("c_comp"), F.col("left").alias("c_left"), F.col("n").alias("c_n")), "centres")
         last = centres.groupBy("key").agg(F.max("order").alias("last"))
-        labels = compare(rows.join(centres.drop("order"), "key").where((F.col("c_comp") != F.col("comp")) & enough))
-        rest = stored(rows.join(last, "key").where(F.col("order") > F.col("last")).drop("last", "order"), "members")
+        labels = compare(join_hot(rows, centres.drop("order"), "key", hot, "doc").where((F.col("c_comp") != F.col("comp")) & enough))
+        rest = stored(join_hot(rows, last, "key", hot, "doc").where(F.col("order") > F.col("last")).drop("last", "order"), "members")
         count *= 8
 
 
@@ -265,9 +283,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     empty table gives none.
     """
     made = stored(sketches(docs, shingle), "sketches")
-    full = made.where("n > 0")
-    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    joined = stored(full.join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("bands", "odd")).alias("own")), "classes")
+    full = made.where("n > 0").withColumn("set", F.struct("n", "s1", "s2"))
+    classes = full.groupBy("set").agg(F.min("doc_id").alias("rep"))
+    own = join_hot(full.drop("s1", "s2"), classes, "set", hot_keys(full, "set"), "doc_id")
+    joined = stored(own.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("bands", "odd")).alias("own")), "classes")
     reps = joined.where("own is not null").select(F.col("doc_id").alias("doc"), "n", "own.bands", "own.odd")
     every = reps.select(F.explode("bands").alias("key"), "doc")
     shared = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
@@ -281,7 +300,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         labels = links(members, facts, texts, shingle, percent)
     rows = joined.select("doc_id", "n", "rep")
     if labels is not None:
-        rows = rows.join(labels.select(F.col("doc").alias("rep"), "comp"), "rep", "left").select("doc_id", "n", F.coalesce("comp", "rep").alias("component_id"))
+        rows = join_hot(rows, labels.select(F.col("doc").alias("rep"), "comp"), "rep", hot_keys(rows, "rep"), "doc_id", "left").select("doc_id", "n", F.coalesce("comp", "rep").alias("component_id"))
     else:
         rows = rows.select("doc_id", "n", F.col("rep").alias("component_id"))
     rows = rows.unionByName(made.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
@@ -289,9 +308,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates keeps; rows without words and with a null doc_id stay."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept and doc_id is not null").select(F.col("doc_id").cast("long").alias("gone_id"))
-    return docs.join(gone, docs.doc_id.cast("long") == gone.gone_id, "left_anti")
+    """One row of each group of near duplicates, with all columns of docs: that with the least doc_id (null ids last, of equal ids the first).
+
+    Rows are told apart by their places, not by doc_id: repeated ids with other texts and null ids count each for themselves.
+    Rows without words stay, all of them.
+    """
+    row = next(m for k in range(len(docs.columns) + 1) if (m := f"row{'_' * (k + 1)}") not in [c.lower() for c in docs.columns])
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # the numbers are looked up again
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), shingle, percent)
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
+    groups = stored(groups, "groups")
+    best = groups.groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.c").alias("row"))
+    gone = groups.join(best, "row", "left_anti").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 #: The query op9_near_dedup in DuckDB: links by an inverted index over all shingles, then components.

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from geolith.llm import near_dedup, substring_dedup
+from geolith.llm import common, near_dedup, substring_dedup, words
 from geolith.llm.words import Words, pieces
 
 SCHEMA = "doc_id long, text string, n long, bucket string, kept string, key long, doc long, rep long"
@@ -34,6 +34,38 @@ def test_words(lower):
     assert pa.chunked_array([p for _, p in pieces(col.slice(2), 8, 3)]).to_pylist() == col.slice(2).to_pylist()
 
 
+def test_words_in_blocks_of_any_size(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(200):
+        monkeypatch.setattr(words, "BYTES", rng.choice([3, 7, 16, 1 << 20]))
+        monkeypatch.setattr(words, "RUNS", rng.choice([2, 5, 1 << 18]))
+        monkeypatch.setattr(words, "LONG", rng.choice([4, 256]))
+        texts = ["".join(rng.choice("ab \n\tÀé") for _ in range(rng.randrange(0, 30))) for _ in range(rng.randrange(0, 6))]
+        w, own = Words(pa.array(texts, pa.string())), [x for t in texts for x in split(t)]
+        assert [w.data[a:b].tobytes().decode() for a, b in zip(w.starts, w.ends)] == own and w.counts.tolist() == [len(split(t)) for t in texts]
+        for n, run in ((1, lambda at: w.hash[at]), (2, lambda at: w.runs(at, 2)), (3, lambda at: w.runs2(at, 3))):
+            at = np.flatnonzero(w.left() >= n)
+            assert len(set(zip(*(own[k : len(own) - n + k + 1] for k in range(n)))) if n == 1 else {tuple(own[i : i + n]) for i in at}) == len(set(run(at).tolist()))
+
+
+def test_words_that_collide_in_polynomials_differ():
+    """Two words of the Thue-Morse sequence have one polynomial hash modulo 2**64, whatever its base."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << 12)]
+    w = Words(pa.array(["".join("ab"[b] for b in bits) + " " + "".join("ba"[b] for b in bits)]))
+    assert w.hash[0] != w.hash[1] and len(set(w.runs2(np.arange(2), 1).tolist())) == 2
+
+
+def test_long_texts_take_little_memory():
+    """A text of 40 MB of words takes a few times its size; a child process is measured."""
+    import subprocess
+    import sys
+
+    code = "import resource, pyarrow as pa, numpy as np\nfrom geolith.llm import language_id, near_dedup\nrng = np.random.default_rng(1)\ncol = pa.array([' '.join(map(str, rng.integers(0, 10**9, 4_000_000)))])\n" \
+           "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024\na = peak()\nlanguage_id.counts(col)\nnear_dedup.shingle_sets(col, 5)\nprint(peak() - a)"
+    used = int(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout)
+    assert used < 500, used
+
+
 def test_the_cover_is_perfect():
     got = sorted((a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER if a != b)
     assert got == list(range(1, substring_dedup.PERIOD))
@@ -83,6 +115,26 @@ def test_substring_dedup(spark, seed, window):
         substring_dedup.dedup(frame(spark, rows), 30)
 
 
+def test_buckets_over_two_gib_are_never_put_together():
+    class Bucket(substring_dedup.Bucket):
+        def pieces(self):
+            return iter(())
+
+    chunk = pa.array(["x" * (1 << 28)])
+    text = pa.chunked_array([chunk] * 9 + [pa.array(["a", None, "b"])])
+    got = Bucket(pa.table({"doc_id": pa.array(range(12)), "text": text}), 50)
+    assert [i for i, part in got.parts for i in range(i, i + len(part))] == list(range(12))
+
+
+def test_buckets_have_a_set_size(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x" * 100_000) for i in range(40)], "doc_id long, text string")
+    assert substring_dedup.bucket_number(df) == 8  # two for each of four partitions
+    monkeypatch.setattr(substring_dedup, "BUCKET_MB", 1)
+    assert substring_dedup.bucket_number(df.unionByName(df).unionByName(df)) == 12
+    rows = passages(4)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(frame(spark, rows), buckets=500).collect()), key=str) == brute_substrings(rows, 50)
+
+
 def brute_components(rows, k, percent=80):
     sets = []
     for _, t in rows:
@@ -144,7 +196,24 @@ def test_near_duplicates_odd_rows(spark):
     assert got == {(None, 5, 4, False), (4, 5, 4, True), (None, 4, None, True), (None, 0, None, True), (7, 2, 7, True), (8, 2, 7, False)}
     assert near_dedup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
     kept = near_dedup.one_of_each(frame(spark, rows), 2)
-    assert kept.columns == frame(spark, rows).columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "7", "7", "None", "None", "None"]
+    assert kept.columns == frame(spark, rows).columns  # one row of each group: the first null id goes with 4, and 7 stays with either text
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("4", "a b c d e f"), ("7", "q r s"), ("7", "t u v"), ("None", "None"), ("None", "lonely text of some words")]
+    rows = [(3, "a b c"), (7, "a b c"), (7, "other words here"), (None, "x y z"), (None, "x y z"), (9, "e f g"), (9, "e f g")]
+    assert sorted((str(r.doc_id), r.text) for r in near_dedup.one_of_each(frame(spark, rows), 2).collect()) == [("3", "a b c"), ("7", "other words here"), ("9", "e f g"), ("None", "x y z")]
+
+
+@pytest.mark.parametrize("seed,k", [(3, 2)])
+def test_hot_keys_change_no_row(spark, seed, k, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    rows = near_rows(seed)
+    assert sorted(map(tuple, near_dedup.near_duplicates(frame(spark, rows), k).collect()), key=str) == brute_components(rows, k)
+    left, right = spark.range(100).selectExpr("id % 3 as k", "id"), spark.createDataFrame([(0, "a"), (1, "b"), (1, "c")], "k long, v string")
+    hot = common.hot_keys(left, "k")
+    assert hot.count() == 3
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.join_hot(left, right, "k", hot, "id", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    assert common.hot_keys(left.where("id % 3 = 0 or id < 10"), "k").count() == 1 and common.hot_keys(right, "k") is None
 
 
 def test_hot_groups_take_rounds(spark):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm.common import shared_dir
+from geolith.llm.common import hot_keys, join_hot, shared_dir, stored
 
 CRLF = "\r\n"
 #: Payloads shorter than this are stored by each record and never revisited.
@@ -40,15 +40,17 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
 
     A null html is the empty payload, a null url an empty target. Of the rows with equal payloads of at
     least `least` bytes, one with the smallest page_id (null ids last) is the response; rows with that very
-    id repeated are all responses. Only digests are grouped, with partial sums, so a payload that a third
-    of all pages share costs a digest a task. Other columns are not read; an empty table gives an empty archive.
+    id repeated are all responses. Only digests are grouped, with partial sums, and joins by digest spread
+    hot ones over tasks, so a payload that a third of all pages share is no task's alone. Other columns are not read; an empty table gives an empty archive.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), _one_line(F.col("url")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload")})
     facts = rows.select("page_id", "url", "digest", "n")
+    spark = pages.sparkSession
+    facts = stored(facts, "facts")  # all but the payloads, so those are hashed once here
     firsts = facts.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.coalesce("page_id", F.lit((1 << 63) - 1))).alias("first"))
-    marked = facts.join(firsts.hint("merge"), "digest", "left")
+    marked = join_hot(facts, firsts, "digest", hot_keys(facts, "digest"), "page_id", "left")
     response = F.col("first").isNull() | (F.coalesce("page_id", F.lit((1 << 63) - 1)) == F.col("first"))
     marked = marked.withColumn("is_response", response)
     http = _utf8("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: ", F.col("n").cast("string"), CRLF + CRLF)
@@ -60,7 +62,6 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         F.when(F.col("is_response"), "").otherwise(F.concat(F.lit(CRLF + "WARC-Refers-To: "), record_id(F.col("first")), F.lit(CRLF + "WARC-Refers-To-Page: "), F.col("first").cast("string"), F.lit(CRLF + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         CRLF + "Content-Type: application/http; msgtype=response" + CRLF + "Content-Length: ", length.cast("string"), CRLF + CRLF,
     )
-    spark = pages.sparkSession
     marked.select("page_id", header.alias("header"), "http", "digest", "is_response").write.option("compression", "zstd").parquet(f"{path}/records")
     last = F.lit((1 << 63) - 1)  # stands for a null page_id
     kept = spark.read.schema(RECORDS).parquet(f"{path}/records").where("is_response").groupBy("digest", F.coalesce("page_id", last).alias("first")).count()
@@ -94,9 +95,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     Payload facts of a revisit come from the stored payload too; its bytes do not, as its block is the HTTP head alone.
     """
     heads, store = read_headers(spark, path), read_payloads(spark, path).withColumnRenamed("digest", "payload_digest")
+    hot = hot_keys(heads, "payload_digest")
     end, facts = F.encode(F.lit(CRLF * 2), "UTF-8"), ("page_id", "record_type", "refers_to", "payload_digest", F.col("n").alias("payload_bytes"), "verified")
-    full = heads.where("is_response").join(store.hint("merge"), "payload_digest", "left").select(*facts, F.concat("header", "http", "payload", end).alias("record"))
-    return full.unionByName(heads.where("not is_response").join(store.drop("payload").hint("merge"), "payload_digest", "left").select(*facts, F.concat("header", "http", end).alias("record")))
+    full = join_hot(heads.where("is_response"), store, "payload_digest", hot, "page_id", "left").select(*facts, F.concat("header", "http", "payload", end).alias("record"))
+    return full.unionByName(join_hot(heads.where("not is_response"), store.drop("payload"), "payload_digest", hot, "page_id", "left").select(*facts, F.concat("header", "http", end).alias("record")))
 
 
 def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:

@@ -1,24 +1,29 @@
 """Byte-pair encoding of whole texts through the tokenizers library, a pre-token at a time.
 
 The pre-tokenizer cuts a text before any merge, so the ids of a text are those of its
-pre-tokens in order. In a text without two spaces in a row there is a cut before every space, so
+pre-tokens in order. There is a cut before every space that follows another character, so
 what lies between spaces can be looked up whole; such words repeat, and each distinct one is
-merged by the library's model once, as long as it stays in the worker's cache. Texts with
-characters for which Python's classes were not proven equal to the library's, or with a special
-token's string, go through the library whole.
+merged by the library's model once, as long as it stays in the worker's cache. Python's classes
+(letter, digit, white space, other) were proven equal to the library's for every character but those of the categories ODD
+and the four separators in WHOLE. Words with odd ones go through the library, word by word; texts with a
+separator, or with a special token's string, go through it whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 
-#: Fixed: the byte-level pre-tokenizer's pattern in the classes of the re module; equal to it on texts of SAFE characters.
+#: Fixed: the byte-level pre-tokenizer's pattern in the classes of the re module; equal to it on texts without odd characters.
 PRETOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Characters outside of those whose class (letter, digit, space, other) is the same for both.
-UNSAFE = re.compile(r"[^\t-\r -~À-ɏ‐-‧‰-⁞]")
+#: Categories whose characters the re module takes for letters and the library for numbers, or that newer tables than Python's may have filled.
+ODD = frozenset(("No", "Nl", "Cn"))
+#: White space for the re module alone.
+WHOLE = re.compile("[\x1c-\x1f]")
+_CUT = re.compile(r"(?<=\S)(?= )")
 #: Words in each of a cache's two halves.
 CACHE = 300_000
 
@@ -32,6 +37,25 @@ def byte_letters() -> dict[int, str]:
     return {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
 
 
+class Kinds(dict):
+    """Character -> whether it is odd."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = unicodedata.category(c) in ODD
+        return self[c]
+
+
+class Spelt(dict):
+    """Code point -> the byte-level letters of its UTF-8 bytes."""
+
+    def __init__(self):
+        self.letters = byte_letters()
+
+    def __missing__(self, point: int) -> str:
+        self[point] = "".join(self.letters[b] for b in chr(point).encode())
+        return self[point]
+
+
 class Cache(dict):
     """Word -> value of the pre-tokens of a space and the word. When full, it becomes the old half, which is asked before a value is made anew.
 
@@ -39,8 +63,8 @@ class Cache(dict):
     a word with up to three more characters is kept itself if its letters were seen before.
     """
 
-    def __init__(self, word: Callable, part: Callable):
-        self.word, self.part, self.old, self.ends = word, part, {}, {}
+    def __init__(self, word: Callable, part: Callable, strange: Callable):
+        self.word, self.part, self.strange, self.old, self.ends = word, part, strange, {}, {}
 
     def __missing__(self, word: str):
         if word.isalpha():
@@ -49,6 +73,9 @@ class Cache(dict):
                 value = self.word(word)
             self[word] = value
             return value
+        if self.strange(word):
+            value = self[word] = self.part(f" {word}")
+            return value
         stem = LETTERS.match(word)
         if not stem:
             return self.part(f" {word}")
@@ -78,57 +105,60 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        letters = byte_letters()
-        plain = (c for c in map(chr, range(0x2060)) if not UNSAFE.match(c))
-        self.letters = {ord(c): "".join(letters[b] for b in c.encode()) for c in plain}  # of every safe character
+        self.letters, self.odd = Spelt(), Kinds()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.ids = Cache(self.word, self.merged)
+        self.ids = Cache(self.word, self.merged, self.strange)
         self._counts: Cache | None = None
 
+    def strange(self, part: str) -> bool:
+        """Whether there is an odd character."""
+        return not part.isascii() and any(map(self.odd.__getitem__, set(part)))
+
+    def by_library(self, part: str) -> list[int]:
+        return self.library.encode(part, add_special_tokens=False).ids
+
     def word(self, letters: str) -> bytes:
         """The ids of a space and letters."""
         return array("I", [t.id for t in self.model.tokenize("Ġ" + (letters if letters.isascii() else letters.translate(self.letters)))]).tobytes()
 
     def merged(self, part: str) -> bytes:
         """The ids of a part of a plain text by the library's model."""
+        if self.strange(part):
+            return packed(self.by_library(part))
         return packed([t.id for p in PRETOKEN.findall(part) for t in self.model.tokenize(p.translate(self.letters))])
 
-    def whole_tokens(self) -> set[str]:
+    def whole_tokens(self) -> frozenset[str]:
         """The vocabulary's strings that are one pre-token and that the library encodes alone as one token."""
         n = self.library.get_vocab_size(with_added_tokens=False)
-        words = [x for x in self.library.decode_batch([[i] for i in range(n)]) if x and not UNSAFE.search(x) and PRETOKEN.findall(x) == [x]]
-        return {x for x, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)) if len(e.ids) == 1}
+        words = [x for x in self.library.decode_batch([[i] for i in range(n)]) if x and not self.strange(x) and not WHOLE.search(x) and PRETOKEN.findall(x) == [x]]
+        return frozenset(x for x, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)) if len(e.ids) == 1)
 
-    @property
-    def counts(self) -> Cache:
-        """Number of ids: one for each pre-token that is a whole token; only others are merged."""
+    def counter(self, whole: frozenset[str] | None = None) -> Cache:
+        """Number of ids: one for each pre-token that is a whole token; only others are merged. The tokens are proven anew, if not given."""
         if self._counts is None:
-            whole = self.whole_tokens()
-            number = lambda part: sum(1 if p in whole else len(self.merged(p)) // 4 for p in PRETOKEN.findall(part))
+            whole = self.whole_tokens() if whole is None else whole
+            number = lambda part: len(self.by_library(part)) if self.strange(part) else sum(1 if p in whole else len(self.merged(p)) // 4 for p in PRETOKEN.findall(part))
             known = {x[1:] for x in whole if x[0] == " "}
-            self._counts = Cache(lambda w: 1 if w in known else len(self.word(w)) // 4, number)
+            self._counts = Cache(lambda w: 1 if w in known else len(self.word(w)) // 4, number, self.strange)
         return self._counts
 
     def plain(self, text: str) -> bool:
-        return not UNSAFE.search(text) and not any(x in text for x in self.special)
+        return not WHOLE.search(text) and not any(x in text for x in self.special)
+
+    def pieces(self, text: str, cache: Cache):
+        """The values of a plain text's parts, each from a cut to the next; those of one space and a word are looked up."""
+        if "  " not in text:
+            first, *words = text.split(" ")
+            return [cache.part(first), *map(cache.__getitem__, words)]
+        return [cache[x[1:]] if x[0] == " " and x[1:2] not in ("", " ") else cache.part(x) for x in _CUT.split(text) if x]
 
     def encode(self, text: str) -> bytes:
         """A text's ids."""
-        if not self.plain(text):
-            return packed(self.library.encode(text, add_special_tokens=False).ids)
-        if "  " in text:
-            return self.merged(text)
-        first, *words = text.split(" ")
-        return b"".join([self.merged(first), *map(self.ids.__getitem__, words)])
+        return b"".join(self.pieces(text, self.ids)) if self.plain(text) else packed(self.by_library(text))
 
     def count(self, text: str) -> int:
         """A text's number of ids."""
-        if not self.plain(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        if "  " in text:
-            return self.counts.part(text)
-        first, *words = text.split(" ")
-        return self.counts.part(first) + sum(map(self.counts.__getitem__, words))
+        return sum(self.pieces(text, self.counter())) if self.plain(text) else len(self.by_library(text))
 
 
 def packed(ids: list[int]) -> bytes:

@@ -1,8 +1,8 @@
 """Token counts (3) by the whole-token shortcut.
 
-Which vocabulary strings are one pre-token and encode alone as one token is proven once per
-worker by encoding the vocabulary (bpe.Encoder.whole_tokens). Such pre-tokens count one each;
-only the rest is merged, each distinct word once while it stays in the worker's cache.
+Which vocabulary strings are one pre-token and encode alone as one token is proven once, on the
+driver, by encoding the vocabulary (bpe.Encoder.whole_tokens), and sent to the workers. Such pre-tokens count
+one each; only the rest is merged, each distinct word once while it stays in the worker's cache.
 """
 
 from __future__ import annotations
@@ -28,14 +28,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, key: str =
     counted whole, one by one.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(encoder(tokenizer).whole_tokens())  # strings of the vocabulary
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        counter = enc.counter(shared.value)
         for batch in batches:
             n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             n = []
             for x in batch.column(1):
                 n.append(enc.count(x.as_py() or ""))
-            enc.counts.turn()
+            counter.turn()
             n = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -22,14 +22,41 @@ def odd(spark):
     return spark.createDataFrame(rows, SCHEMA), rows
 
 
-def test_classes_of_safe_characters_are_the_librarys():
+def test_classes_are_the_librarys_for_all_but_odd_characters():
+    """Every character of Unicode, in places that tell letters, digits, white space and others apart."""
     enc = bpe.encoder(PATH)
-    safe = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not bpe.UNSAFE.search(chr(c))]
-    assert len(safe) > 500
-    for c in safe:
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    plain = [c for c in every if not enc.strange(c) and not bpe.WHOLE.search(c)]
+    assert len(plain) > 250_000
+    pieces = lambda x: [x[a:b] for _, (a, b) in enc.library.pre_tokenizer.pre_tokenize_str(x)]
+    for i in range(0, len(plain), 128):
+        text = " ".join(f"a{c}1 {c}{c} b{c} !{c}?{c}\n{c}  {c}'s{c}" for c in plain[i : i + 128])
+        assert bpe.PRETOKEN.findall(text) == pieces(text), hex(ord(plain[i]))
+    for c in plain[::97]:
         text = f"a{c}1 {c}{c} b{c} !{c}?{c}\n{c}  {c}'s{c}"
-        assert enc.encode(text) == bpe.packed(enc.library.encode(text, add_special_tokens=False).ids), hex(ord(c))
-        assert enc.plain(text) and enc.count(text) * 4 == len(enc.encode(text))
+        assert enc.encode(text) == bpe.packed(enc.by_library(text)) and enc.count(text) * 4 == len(enc.encode(text)), hex(ord(c))
+
+
+MIXED = ["漢字仮名交じり文 と 2² ½ 日本", "Это просто текст, №5 и ещё.", "Ελληνικά κείμενα  με ½ κενά", "£5 © 2024 «mots» à 10 €", "a\u0378b c\U0001F600d", "ⅷ Ⅷ x² y₂ z", "नमस्ते दुनिया १२३", "مرحبا ١٢٣ بكم", "a\u2028b \u3000c\u00a0 d", "²  ² ²²  \n² "]
+
+
+@pytest.mark.parametrize("text", MIXED)
+def test_other_scripts_take_the_words_path(text):
+    enc = bpe.encoder(PATH)
+    assert enc.plain(text)
+    for x in (text, f" {text} ", text * 3, "  ".join([text] * 2)):
+        assert enc.encode(x) == bpe.packed(enc.by_library(x)) and enc.count(x) == len(enc.by_library(x))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_random_texts(seed):
+    import random
+
+    rng, enc = random.Random(seed), bpe.encoder(PATH)
+    signs = list("ab  \n\t'.1½²é漢Ж_\u3000\x85") + ["don't", "\x1c", "\u0378", "<|endoftext|>"]
+    for _ in range(400):
+        text = "".join(rng.choice(signs[: rng.choice([10, 18, 22])]) for _ in range(rng.randrange(30)))
+        assert enc.encode(text) == bpe.packed(enc.by_library(text)) and enc.count(text) == len(enc.by_library(text)), repr(text)
 
 
 @pytest.mark.parametrize("text", ["a  b", "a\n b", "a\n\n b  ", " \n a", "a \n\tb ", "  x", " ", "it's 'll don't've  we're", "a   b \n  c", "x\t y", "a ", "1st 2,000.50 _x_ __"])

@@ -44,9 +44,72 @@ def test_damaged_streams():
     sync = bytearray(s)
     sync[188 * 5] = 0
     assert any("sync" in e for e in media.read_stream(bytes(sync))["errors"])
+    for cut in (1, 50, 187, 188 * 3 + 7):  # found again after lost bytes; the units that were not touched are whole
+        got = media.read_stream(s[: 188 * 120] + s[188 * 120 + cut :])
+        assert any("sync" in e or "counter" in e for e in got["errors"]) and got["payload"] == payload[:16_384] + payload[32_768:], cut
+    assert media.read_stream(b"noise" + s)["payload"] == payload and media.read_stream(b"\x47" * 100 + s)["payload"] == payload
     assert media.read_stream(b"")["payload"] == b"" and media.read_stream(b"junk" * 100)["payload"] == b""
 
 
+def packet(pid, counter, data, start=False, field=b""):
+    """A packet with all of data, filled up by its adaptation field."""
+    room = 184 - len(data)
+    if room or field:
+        fill = (field or b"\x00") + b"\xff" * (room - 1 - len(field or b"\x00")) if room > 1 else b""
+        return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, 0x30 | counter & 15, room - 1]) + fill + data
+    return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, 0x10 | counter & 15]) + data
+
+
+def pes(data, stream=0xE0, stamp=None, size=None):
+    head = b"\x80" + (b"\x80\x05" + media._stamp(stamp) if stamp is not None else b"\x00\x00")
+    return b"\x00\x00\x01" + bytes([stream]) + (len(head + data) if size is None else size).to_bytes(2, "big") + head + data
+
+
+def split_section(pid, section, counter=0, pointer=b"\x00"):
+    data = pointer + section
+    parts = [data[i : i + 184] for i in range(0, len(data), 184)]
+    return b"".join(packet(pid, counter + k, x.ljust(184, b"\xff"), k == 0) for k, x in enumerate(parts))
+
+
+def test_streams_of_other_writers():
+    many = [(n, 0x200 + n) for n in range(1, 61)]  # 60 programs: a table of two packets
+    pat = media._section(0, 1, b"\x00\x00\xe0\x10" + b"".join(n.to_bytes(2, "big") + (0xE000 | pid).to_bytes(2, "big") for n, pid in many))
+    described = b"\x05\x04TEST" * 40  # descriptors that carry a map over two packets
+    body = (0xE500).to_bytes(2, "big") + (0xF000 | len(described)).to_bytes(2, "big") + described + b"\x1b" + (0xE500).to_bytes(2, "big") + b"\xf0\x00" + b"\x0f" + (0xE501).to_bytes(2, "big") + b"\xf0\x03abc"
+    pmt = media._section(2, 7, body)
+    tables = split_section(0, pat) + b"".join(split_section(0x200 + n, media._section(2, n, b"\xe5\x99\xf0\x00\x06\xe6\x00\xf0\x00")) for n, _ in many if n != 7) + split_section(0x207, pmt)
+    video = [b"first unit " * 30, b"second " * 40, b"third"]
+    packets, c = [], 0
+    for k, x in enumerate(video):
+        whole = pes(x, stamp=9000 * k if k < 2 else None, size=0)  # of no stated length
+        for i in range(0, len(whole), 170):
+            packets.append(packet(0x500, c, whole[i : i + 170], i == 0, b"\x40" if i == 0 and k == 0 else b""))
+            c += 1
+    packets.insert(2, packets[1])  # sent twice
+    audio = packet(0x501, 5, pes(b"sound", 0xC0, 1), True) + packet(0x501, 9, pes(b"after a marked break", 0xC0, 2), True, b"\x80") + packet(0x501, 10, b"\x00\x00\x01\xbf\x00\x04bare", True)
+    stream = tables + b"".join(packets) + packet(0x1FFF, 0, b"null") + audio
+    got = media.read_stream(stream, program=7)
+    assert got["errors"] == [] and got["payload"] == b"".join(video) and got["timestamps"] == [0, 9000, None] and len(got["random_access"]) == 1
+    assert len(got["programs"]) == 60 and got["programs"][7] == [(0x1B, 0x500), (0x0F, 0x501)] and got["programs"][3] == [(6, 0x600)]
+    got = media.read_stream(stream, pid=0x501)
+    assert got["payload"] == b"soundafter a marked breakbare" and got["timestamps"] == [1, 2, None] and not got["errors"]
+    assert media.read_stream(stream, program=99)["payload"] == b"" and media.read_stream(stream)["payload"] == b""  # program 1's stream has no packet
+    both = media._section(0, 1, b"\x00\x01\xe1\x00\x00\x02\xe1\x00")  # two programs' maps in one PID, and two sections in one packet
+    one, two = (media._section(2, n, b"\xe5\x00\xf0\x00\x06" + (0xE500 + n).to_bytes(2, "big") + b"\xf0\x00") for n in (1, 2))
+    got = media.read_stream(split_section(0, both) + split_section(0x100, one) + split_section(0x100, two, 1) + packet(0x502, 0, pes(b"of two"), True), program=2)
+    assert got["payload"] == b"of two" and got["programs"] == {1: [(6, 0x501)], 2: [(6, 0x502)]} and not got["errors"]
+
+
+def test_a_part_is_read_by_time():
+    payload = random.Random(2).randbytes(1_000_000)
+    stream, stamps, offsets, times = media.write_indexed(payload)
+    assert stamps == media.read_stream(stream)["timestamps"] and len(offsets) == len(times) == -(-len(stamps) // media.RANDOM_ACCESS)
+    for first, last in ((0, 0), (3600 * 17, 3600 * 17), (3600 * 8, 3600 * 30), (3600 * 60, 10**9), (0, 10**9)):
+        got = media.read_from(stream, offsets, times, first, last)
+        a, b = first // 3600 // 8 * 8, min(len(stamps), last // 3600 // 8 * 8 + 8)
+        assert not got["errors"] and got["timestamps"] == stamps[a:b] and got["payload"] == payload[a * media.UNIT : b * media.UNIT]
+
+
 def test_media_column(spark, sf_dir):
     df = spark.createDataFrame([(i, t, b"clash", 7) for i, t in enumerate(TEXTS)] + [(None, "a", None, None), (2, "a", None, None)], "doc_id long, text string, media binary, n_bytes long")
     got = media.media_column(df).collect()
@@ -59,7 +122,7 @@ def test_media_column(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
         s = media.write_stream(data)
         assert (r.media_bytes, r.media_sha256) == (len(s), hashlib.sha256(s).hexdigest())
-        assert same.setdefault(t, r[1:]) == r[1:]
+        assert same.setdefault(t, r[1:]) == r[1:] and "index=same" in r.feature and r.feature.endswith("points=" + " ".join(f"{a}@{b}" for a, b in zip(*media.write_indexed(data)[2:])))
     back = media.from_media(media.to_media(df)).collect()
     assert all(bytes(r.payload) == media.pad("a" if r.doc_id is None else TEXTS[r.doc_id]) and not r.errors for r in back)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

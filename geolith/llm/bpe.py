@@ -16,6 +16,10 @@ import unicodedata
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Fixed: the byte-level pre-tokenizer's pattern in the classes of the re module; equal to it on texts without odd characters.
 PRETOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -24,8 +28,10 @@ ODD = frozenset(("No", "Nl", "Cn"))
 #: White space for the re module alone.
 WHOLE = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Words in each of a cache's two halves.
-CACHE = 300_000
+#: Words in each of a cache's two halves, and words whose values are kept in Arrow arrays.
+CACHE, KNOWN = 100_000, 1_500_000
+#: Bytes of text that are cut into words together; a longer text is alone.
+PIECE = 16 << 20
 
 _loaded: dict[str, Encoder] = {}
 
@@ -63,8 +69,9 @@ class Cache(dict):
     a word with up to three more characters is kept itself if its letters were seen before.
     """
 
-    def __init__(self, word: Callable, part: Callable, strange: Callable):
+    def __init__(self, word: Callable, part: Callable, strange: Callable, kind: pa.DataType):
         self.word, self.part, self.strange, self.old, self.ends = word, part, strange, {}, {}
+        self.words, self.values = pa.array([], pa.string()), pa.array([], kind)
 
     def __missing__(self, word: str):
         if word.isalpha():
@@ -91,10 +98,21 @@ class Cache(dict):
             return value
         return self[stem] + tail
 
-    def turn(self) -> None:
+    def known(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Values of known words, and the place among them of each of the distinct words asked for; new ones are added. When there are too many, those asked for now stay."""
+        place = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(place))
+        values = pa.array(list(map(self.__getitem__, new.to_pylist())), self.values.type)
+        place = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = len(self.words) + np.arange(len(new))
+        self.words, self.values = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.values, values])
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
+        found = self.values
+        if len(self.words) > KNOWN:
+            self.words, self.values = words, found.take(pa.array(place))
+        return found, place
 
 
 class Encoder:
@@ -107,7 +125,7 @@ class Encoder:
         self.model = self.library.model
         self.letters, self.odd = Spelt(), Kinds()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.ids = Cache(self.word, self.merged, self.strange)
+        self.ids = Cache(self.word, self.merged, self.strange, pa.binary())
         self._counts: Cache | None = None
 
     def strange(self, part: str) -> bool:
@@ -139,17 +157,14 @@ class Encoder:
             whole = self.whole_tokens() if whole is None else whole
             number = lambda part: len(self.by_library(part)) if self.strange(part) else sum(1 if p in whole else len(self.merged(p)) // 4 for p in PRETOKEN.findall(part))
             known = {x[1:] for x in whole if x[0] == " "}
-            self._counts = Cache(lambda w: 1 if w in known else len(self.word(w)) // 4, number, self.strange)
+            self._counts = Cache(lambda w: 1 if w in known else len(self.word(w)) // 4, number, self.strange, pa.int64())
         return self._counts
 
     def plain(self, text: str) -> bool:
         return not WHOLE.search(text) and not any(x in text for x in self.special)
 
-    def pieces(self, text: str, cache: Cache):
+    def pieces(self, text: str, cache: Cache) -> list:
         """The values of a plain text's parts, each from a cut to the next; those of one space and a word are looked up."""
-        if "  " not in text:
-            first, *words = text.split(" ")
-            return [cache.part(first), *map(cache.__getitem__, words)]
         return [cache[x[1:]] if x[0] == " " and x[1:2] not in ("", " ") else cache.part(x) for x in _CUT.split(text) if x]
 
     def encode(self, text: str) -> bytes:
@@ -160,6 +175,43 @@ class Encoder:
         """A text's number of ids."""
         return sum(self.pieces(text, self.counter())) if self.plain(text) else len(self.by_library(text))
 
+    def looked_up(self, column: pa.Array, cache: Cache, one: Callable) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Values, the index among them of each word of the column's texts, and where the texts begin.
+
+        Arrow cuts the texts at spaces, finds the distinct words and looks them up among those known, so
+        only new ones come to Python. Texts that are not plain, or with two spaces in a row, are one word, of the value one(text).
+        """
+        col = pc.fill_null(column, "")
+        slow = pc.or_(pc.match_substring(col, "  "), pc.match_substring_regex(col, WHOLE.pattern))
+        for x in self.special:
+            slow = pc.or_(slow, pc.match_substring(col, x))
+        parts = pc.split_pattern(pc.if_else(slow, "", col), " ")
+        begins = parts.offsets.to_numpy()
+        words = parts.values.dictionary_encode()
+        values, place = cache.known(words.dictionary)
+        index = place[words.indices.to_numpy()]
+        first = [cache.part(x) for x in parts.values.take(pa.array(begins[:-1])).to_pylist()]  # no space before these
+        for i in np.flatnonzero(slow.to_numpy(zero_copy_only=False)):
+            first[i] = one(col[int(i)].as_py())
+        index[begins[:-1]] = len(values) + np.arange(len(first))
+        return pa.concat_arrays([values, pa.array(first, values.type)]), index, begins
+
+    def encode_all(self, column: pa.Array, end: bytes = b"") -> tuple[pa.Buffer, np.ndarray]:
+        """All ids of the column's texts, each followed by end, and their number in each text."""
+        values, index, begins = self.looked_up(column, self.ids, self.encode)
+        index = np.insert(index, begins[1:], len(values))
+        begins = begins + np.arange(len(begins))
+        ids = pa.concat_arrays([values, pa.array([end], values.type)]).take(pa.array(index))
+        at = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)
+        return ids.buffers()[2] or pa.py_buffer(b""), np.diff(at[begins].astype(np.int64)) // 4
+
+    def count_all(self, column: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        if not len(column):
+            return np.zeros(0, np.int64)
+        values, index, begins = self.looked_up(column, self.counter(), self.count)
+        return np.add.reduceat(values.to_numpy()[index], begins[:-1])
+
 
 def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()

@@ -14,8 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.bpe import encoder
+from geolith.llm.bpe import PIECE, encoder
 from geolith.llm.common import text_column
+from geolith.llm.words import pieces
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -32,15 +33,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, key: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        counter = enc.counter(shared.value)
+        enc.counter(shared.value)
         for batch in batches:
-            n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            n = []
-            for x in batch.column(1):
-                n.append(enc.count(x.as_py() or ""))
-            counter.turn()
-            n = pa.array(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for start, part in pieces(batch.column(1), PIECE, batch.num_rows):
+                n_bytes = pc.fill_null(pc.binary_length(part), 0).cast(pa.int64())
+                n = pa.array(enc.count_all(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), n_bytes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return text_column(docs, key, text).mapInArrow(count, SCHEMA)
 

@@ -19,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.llm.bpe import encoder
-from geolith.llm.common import give_back, partitions, runs, shared_dir, text_column, texts_of
+from geolith.llm.bpe import PIECE, encoder
+from geolith.llm.common import give_back, partitions, shared_dir, text_column
+from geolith.llm.words import pieces
 
 STORE = "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>"
 RESULT = "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 long"
@@ -51,14 +52,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         enc, shard, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            sizes = batch.column(1).nbytes // max(1, batch.num_rows)
-            for i, j in runs([sizes] * batch.num_rows):
-                ids = [enc.encode(x) + end for x in texts_of(batch.column(1).slice(i, j - i))]
-                enc.ids.turn()
-                n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            for i, part in pieces(batch.column(1), PIECE, max(1, batch.num_rows)):
+                ids, n = enc.encode_all(part, end)
                 ends = np.cumsum(n)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends - n), pa.array(n), tokens], ["doc_id", "shard", "local_start", "n_tokens", "tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, ids]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends - n), pa.array(n), tokens], ["doc_id", "shard", "local_start", "n_tokens", "tokens"])
                 start += int(ends[-1])
         give_back()
 

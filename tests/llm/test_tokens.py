@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -57,6 +58,12 @@ def test_random_texts(seed):
     for _ in range(400):
         text = "".join(rng.choice(signs[: rng.choice([10, 18, 22])]) for _ in range(rng.randrange(30)))
         assert enc.encode(text) == bpe.packed(enc.by_library(text)) and enc.count(text) == len(enc.by_library(text)), repr(text)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(300)] + [None, "", " ", "a ", " a", "漢 ½ ½"]
+    want = [enc.by_library(x or "") for x in texts]
+    ids, n = enc.encode_all(pa.array(texts), np.array([2], "<u4").tobytes())
+    assert np.frombuffer(ids, "<u4", int(n.sum())).tolist() == [x for w in want for x in [*w, 2]] and n.tolist() == [len(w) + 1 for w in want]
+    assert enc.count_all(pa.array(texts)).tolist() == [len(w) for w in want]
+    assert enc.count_all(pa.array(texts[:0], pa.string())).tolist() == [] and enc.encode_all(pa.array(texts).slice(5, 7))[1].tolist() == [len(w) for w in want[5:12]]
 
 
 @pytest.mark.parametrize("text", ["a  b", "a\n b", "a\n\n b  ", " \n a", "a \n\tb ", "  x", " ", "it's 'll don't've  we're", "a   b \n  c", "x\t y", "a ", "1st 2,000.50 _x_ __"])

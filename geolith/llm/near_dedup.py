@@ -314,15 +314,17 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     Rows without words stay, all of them.
     """
     row = next(m for k in range(len(docs.columns) + 1) if (m := f"row{'_' * (k + 1)}") not in [c.lower() for c in docs.columns])
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # the numbers are looked up again
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # the rows of a scan come in one order each time, those of a shuffle need not
+        numbered = stored(numbered, "numbered")
     found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), shingle, percent)
     ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
     groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
     groups = stored(groups, "groups")
     best = groups.groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.c").alias("row"))
-    gone = groups.join(best, "row", "left_anti").select(F.col("row").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    gone = groups.join(best, "row", "left_anti").select(F.col("row").alias(row))  # grows with the corpus: never broadcast
+    return numbered.join(gone.hint("merge"), row, "left_anti").select(*docs.columns)
 
 
 #: The query op9_near_dedup in DuckDB: links by an inverted index over all shingles, then components.

@@ -84,6 +84,7 @@ def event_rows(events: DataFrame, info: DataFrame) -> DataFrame:
     loc = lambda c: F.col(f"event_loc.{c}")
     named = events.join(info.select(F.col("code3").alias("_code"), F.col("name").alias("_country")), loc("country_code3") == F.col("_code"), "left")
     return named.select(
-        *(c for c in ("storyid", "event_id", "Headline", "text", "name") if c in events.columns), F.col("qa.answer").alias("qa_answer"), loc("name").alias("place"), loc("admin2_name").alias("district"), loc("admin1_name").alias("province"),
+        *(c for c in ("storyid", "event_id", "Headline", "text", "name", "sentence_num", "partial_doc") if c in events.columns), F.col("qa.answer").alias("qa_answer"),
+        *([loc("search_name").alias("extracted_name")] if "search_name" in events.schema["event_loc"].dataType.names else []), loc("name").alias("place"), loc("admin2_name").alias("district"), loc("admin1_name").alias("province"),
         F.coalesce("_country", loc("country_code3")).alias("country"), loc("lat").alias("lat"), loc("lon").alias("lon"), loc("geonameid").alias("geonameid"), "event_loc_reason",
     )

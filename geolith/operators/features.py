@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geolith.functions.math import array_mean, min_max, name_distances
 
-#: The order of the numbers that a scorer gets.
+#: Fixed: the order of the numbers that a scorer gets, as models are trained on it.
 FEATURES = ("alt_name_log", "max_dist", "avg_dist", "min_dist", "ascii_dist", "adm1_count", "country_count", "adm1_parent_match", "country_parent_match")
 #: Fixed: codes that stand for no entry and for the last slot, and padding's distances.
 NULL_CODE, LAST_CODE, PADDING = 52, 53, 99.0
@@ -36,10 +36,10 @@ def coherence(rows: DataFrame, strict: bool = False) -> DataFrame:
     """adm1_count and country_count: the share of a document's mentions that have a candidate in the same division, and country.
 
     Candidates without a division name, and those that stand for none, count 0; strict counts both like
-    any other value and compares divisions by name alone. All windows lie within a document, so one
+    any other value and compares divisions by name alone. Rows of nulls (with_mentions) count as mentions alone. All windows lie within a document, so one
     exchange by document serves them, and nothing is compared pair by pair.
     """
-    real = F.lit(True) if strict else F.col("geonameid") != "NULL"
+    real = F.col("geonameid").isNotNull() if strict else F.coalesce(F.col("geonameid") != "NULL", F.lit(False))
     division = ["admin1_name"] if strict else ["country_code3", "admin1_name"]
     share = lambda mask, *by: F.size(F.collect_set(F.when(mask, F.col("mention_id"))).over(Window.partitionBy("doc_id", *by))) / F.col("n_mentions")
     rows = rows.withColumn("n_mentions", F.size(F.collect_set("mention_id").over(Window.partitionBy("doc_id"))))
@@ -48,6 +48,11 @@ def coherence(rows: DataFrame, strict: bool = False) -> DataFrame:
     return rows.withColumns({"adm1_count": F.when(named, F.col("adm1_count")).otherwise(0.0), "country_count": F.when(real, F.col("country_count")).otherwise(0.0)}).drop("n_mentions")
 
 
+def with_mentions(rows: DataFrame, mentions: DataFrame) -> DataFrame:
+    """rows, and a row of nulls for each mention without candidates, so a document's mentions can be counted."""
+    return mentions.select(*_MENTION).join(rows, list(_MENTION), "left")
+
+
 def with_null_candidate(rows: DataFrame, mentions: DataFrame) -> DataFrame:
     """rows and, behind each mention's candidates, one that stands for no entry; mentions without candidates have it alone."""
     fields = [("slot", "int"), *((c, t) for c, t in rows.dtypes if c not in (*_MENTION, "slot"))]

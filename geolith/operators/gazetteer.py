@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolith.functions.text import expand_accents, phrases
@@ -55,6 +55,30 @@ def phrase_index(gazetteer: DataFrame) -> DataFrame:
     return all_names(gazetteer).select("geonameid", F.explode(phrases(F.col("place_name"))).alias("phrase")).distinct()
 
 
+def ranked_index(gazetteer: DataFrame) -> DataFrame:
+    """phrase, geonameid, rank: the phrase index with each entry's rank, from 0, among those of the phrase, by alt_name_length, downwards, and geonameid.
+
+    So an unrestricted search for k entries reads ranks below k alone: it neither looks at the gazetteer nor sorts the hundreds of thousands of
+    entries of a common word. Restricted searches take the phrase's other rows too.
+    """
+    rows = phrase_index(gazetteer).join(gazetteer.select("geonameid", "alt_name_length"), "geonameid")
+    order = Window.partitionBy("phrase").orderBy(F.col("alt_name_length").desc(), "geonameid")
+    return rows.select("phrase", "geonameid", (F.row_number().over(order) - 1).alias("rank"))
+
+
+def missing(tables: dict[str, DataFrame | None]) -> list[str]:
+    """The names of tables that are not there or have no row: what a job should look at before it starts."""
+    return [name for name, df in tables.items() if df is None or df.isEmpty()]
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """Whether there is such a table in the catalog, or a stored table at that path."""
+    if "/" in name:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.catalog.tableExists(name)
+
+
 def word_index(gazetteer: DataFrame) -> DataFrame:
     """word, geonameid: for fuzzy search, each word of each name."""
     return all_names(gazetteer).select("geonameid", F.explode(phrases(F.col("place_name"), 1)).alias("word")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,22 +91,50 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if size < cores * (4 << 20) else docs
 
 
-def extract_mentions(docs: DataFrame, tagger: Tagger, strict: bool = False) -> DataFrame:
-    """MENTION rows of docs (doc_id, text): one pass, without a shuffle but for inputs of very few partitions. Texts that repeat may be tagged once with once_per_text."""
+class LoadedTagger:
+    """A tagger that each worker loads once, by `load`, such as a language model; only `load` itself is sent."""
+
+    _made: dict[str, Tagger] = {}
+
+    def __init__(self, load: Callable[[], Tagger]):
+        self.load, self.name = load, uuid.uuid4().hex
+
+    def __call__(self, tokens: Tokens) -> Spans:
+        if self.name not in self._made:
+            self._made[self.name] = self.load()
+        return self._made[self.name](tokens)
+
+
+def check_tagger(tagger: Tagger | None) -> None:
+    """Raise on the driver, before any job runs, if the tagger is not there, can't be loaded or does not mark spans."""
+    if tagger is None:
+        raise ValueError("a tagger is needed to find mentions in texts")
+    try:
+        spans = tagger(tokenise("Berlin is a city."))
+        wrong = [x for x in spans if len(x) != 3 or not 0 <= x[0] < x[1] <= 5]
+    except Exception as e:
+        raise ValueError(f"the tagger can't be used: {e}") from e
+    if wrong:
+        raise ValueError(f"the tagger gives spans outside of the text: {wrong}")
+
+
+def extract_mentions(docs: DataFrame, tagger: Tagger, strict: bool = False, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """MENTION rows of docs (doc_id, text), or with another key column: one pass, without a shuffle but for inputs of very few partitions. Texts that repeat may be tagged once with once_per_text."""
+    schema = schemas.MENTION.replace("doc_id long", f"{key} {kind}")
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, text in zip(pdf[key], pdf["text"]):
                 tokens = tokenise(text or "")
                 spans, n = tagger(tokens), 0
                 for k, (i, j, label) in enumerate(spans):
                     if label in MENTION_LABELS:
                         rows.append((doc, n, text[tokens[i][1] : tokens[j - 1][2]], tokens[i][1], tokens[j - 1][2], label, tokens[i][3], guess_in_rel(text, tokens, spans, k, strict)))
                         n += 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schemas.MENTION.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInPandas(go, schemas.MENTION)
+    return spread(docs.select(F.col(key).cast(kind), F.col("text").cast("string"))).mapInPandas(go, schema)
 
 
 def mentions_of_tokens(docs: DataFrame, strict: bool = False) -> DataFrame:
@@ -138,17 +167,20 @@ def mentions_of_tokens(docs: DataFrame, strict: bool = False) -> DataFrame:
     return docs.select("doc_id", "tokens").mapInPandas(go, schemas.MENTION)
 
 
-def once_per_text(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """stage (doc_id, text -> rows with doc_id) on one document of each text, its rows given to all documents of that text."""
-    keyed = docs.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    first = keyed.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
-    same = keyed.select("doc_id", "text_key").join(first, "text_key").select("doc_id", "first_id")
-    once = keyed.join(first, (keyed.doc_id == first.first_id) & (keyed.text_key == first.text_key), "left_semi").select("doc_id", "text")
-    return stage(once).withColumnRenamed("doc_id", "first_id").join(same, "first_id").drop("first_id")
+def once_per_text(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], keep: bool = False) -> DataFrame:
+    """stage on each distinct text once, its rows given to all documents of that text.
+
+    stage: (text_key, text) -> rows with text_key, which stays if `keep`. Documents are rows of different doc_id or text: an id that repeats with
+    another text gets both texts' rows, an exact repeat counts once, null ids are ids like others. A null text is an empty one.
+    """
+    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.sha2("text", 256))
+    once = keyed.groupBy("text_key").agg(F.first("text").alias("text"))  # in part before it is moved: a text that a third of all documents share is one row a task
+    rows = stage(once).join(keyed.select("doc_id", "text_key").distinct(), "text_key")
+    return rows if keep else rows.drop("text_key")
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, piece, start: runs of letters, with their places and character offsets."""
+def pieces(docs: DataFrame, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """doc_id (or another key), pos, piece, start: runs of letters, with their places and character offsets."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,21 +194,19 @@ def pieces(docs: DataFrame) -> DataFrame:
                         part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)),
                         pa.array([m[0] for m in flat], pa.string()), pa.array([m.start() for m in flat], pa.int64()),
                     ],
-                    ["doc_id", "pos", "piece", "start"],
+                    [key, "pos", "piece", "start"],
                 )
 
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(go, "doc_id long, pos long, piece string, start long")
+    return spread(docs.select(F.col(key).cast(kind).alias(key), F.col("text").cast("string").alias("text"))).mapInArrow(go, f"{key} {kind}, pos long, piece string, start long")
 
 
 def token_vectors(word_pieces: DataFrame) -> DataFrame:
     """doc_id, token, vec: each token's mean of its word pieces' vectors (doc_id, token, vec); zeros for a token without any (a null vec)."""
 
-    def mean(vecs: pd.Series) -> list[float]:
-        own = [np.asarray(v, np.float64) for v in vecs if v is not None]
-        return np.mean(own, axis=0).tolist() if own else []
-
-    fn = F.pandas_udf(mean, "array<double>")
-    return word_pieces.groupBy("doc_id", "token").agg(fn("vec").alias("vec"))
+    each = word_pieces.select("doc_id", "token", F.posexplode_outer("vec").alias("i", "x"))
+    means = each.groupBy("doc_id", "token", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))  # summed up in part before it is moved
+    own = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "m"))))
+    return means.groupBy("doc_id", "token").agg(F.transform(own, lambda x: x.m).alias("vec"))
 
 
 def context_vectors(tokens: DataFrame, mentions: DataFrame, dims: int) -> DataFrame:

@@ -32,6 +32,18 @@ def resolve(scored: DataFrame, slots: int, top_n: int = 1, strict: bool = False)
     return rows.select(*_MENTION, *(F.when(~bare, F.col(c)).alias(c) for c in ("slot", "score", *more)), "rank", "reason")
 
 
+def resolve_arrays(scored: DataFrame, top_n: int = 1, strict: bool = False) -> DataFrame:
+    """What resolve gives, from slots.scored: a mention's rows are made of its one array, without a shuffle."""
+    first = F.get("real", F.lit(0))
+    none = F.array_max(F.transform("real", lambda x: x.slot))  # the last real slot stands for no entry
+    reason = F.when(F.col("last") == F.col("best"), "no answer").when(F.size("real") == 0, "no candidates").when(first.slot == none, "no entry").otherwise("")
+    rows = scored.withColumn("reason", reason).withColumn("bare", F.col("reason") != "")
+    if strict:
+        rows = rows.where("reason <> 'no entry'")
+    rows = rows.select(*_MENTION, "reason", "bare", F.posexplode_outer(F.when(F.col("bare"), F.slice("real", 1, 1)).otherwise(F.slice("real", 1, top_n))).alias("pos", "x"))
+    return rows.select(*_MENTION, *(F.when(~F.col("bare"), F.col(f"x.{c}")).alias(c) for c in ("slot", "score", "place")), (F.coalesce("pos", F.lit(0)) + 1).alias("rank"), "reason")
+
+
 def best_over(scored: DataFrame, least: float = 0.01, top_n: int = 1) -> DataFrame:
     """The batch job's rule: of the real slots (the one for no entry among them) with a score over `least`, the top_n."""
     w = Window.partitionBy(*_MENTION).orderBy(F.col("score").desc(), "slot")
@@ -67,6 +79,12 @@ def documents_out(docs: DataFrame, resolved: DataFrame, event_text: DataFrame |
     return rows.select("doc_id", "doc_text", F.coalesce("event_location_raw", F.lit("")).alias("event_location_raw"), F.coalesce("geolocated_ents", F.array().cast(kind)).alias("geolocated_ents"))
 
 
+def extracted(resolved: DataFrame) -> DataFrame:
+    """The batch job's eleven fields of each resolved mention, by document: mentions without an entry are left out."""
+    own = resolved.where("geonameid IS NOT NULL")
+    return own.select("doc_id", F.col("search_name").alias("extracted_name"), "name", "lat", "admin1_name", "admin2_name", "country_code3", "feature_code", "lon", "geonameid", "start_char", "end_char")
+
+
 def trimmed(resolved: DataFrame, internal: bool = True) -> DataFrame:
     """resolved without the features that only the scorer needs."""
     return resolved.drop(*("adm1_parent_match", "country_parent_match", "alt_name_length", "alternativenames", "min_dist", "max_dist", "avg_dist", "ascii_dist", "adm1_count", "country_count", "alt_name_log")) if internal else resolved

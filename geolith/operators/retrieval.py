@@ -33,9 +33,12 @@ def _top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
 def phrase_search(names: DataFrame, index: DataFrame, gazetteer: DataFrame, k: int = 50, **only: object) -> DataFrame:
     """query, slot, geonameid: for each distinct query of names, the first k entries one of whose names has it as a run of words.
 
-    The order is that of alt_name_length, downwards, then of geonameid. only: see restrict.
+    The order is that of alt_name_length, downwards, then of geonameid. only: see restrict. Of a ranked index an
+    unrestricted search reads the first k of each phrase.
     """
     wanted = names.select("query").distinct().withColumn("phrase", normal(F.col("query"))).where("phrase <> ''")
+    if "rank" in index.columns and not any(only.values()):
+        return wanted.join(index.where(F.col("rank") < k), "phrase").select("query", F.col("rank").alias("slot"), "geonameid")
     facts = restrict(gazetteer, **only).select("geonameid", "alt_name_length")
     hits = wanted.join(index, "phrase").join(facts, "geonameid").select("query", "geonameid", "alt_name_length")
     return _top(hits, k, F.col("alt_name_length").desc(), F.col("geonameid")).select("query", "slot", "geonameid")
@@ -73,12 +76,12 @@ def search(names: DataFrame, index: DataFrame, gazetteer: DataFrame, k: int = 50
     return first.unionByName(fuzzy_search(rest, gazetteer, k, fuzzy + 1, **only))
 
 
-def candidates(mentions: DataFrame, index: DataFrame, gazetteer: DataFrame, k: int = 50, fuzzy: int = 0, fallback: bool = True, strict: bool = False, **only: object) -> DataFrame:
-    """doc_id, mention_id, search_name, in_rel, slot, geonameid of each mention's candidates; the name is cleaned for the search alone. strict: limit_types has no effect, as in the reference."""
+def candidates(mentions: DataFrame, index: DataFrame, gazetteer: DataFrame, k: int = 50, fuzzy: int = 0, fallback: bool = True, strict: bool = False, every: bool = False, **only: object) -> DataFrame:
+    """doc_id, mention_id, search_name, in_rel, slot, geonameid of each mention's candidates (with `every`, nulls for a mention without any); the name is cleaned for the search alone. strict: limit_types has no effect."""
     only = {**only, "limit_types": False} if strict else only
     named = mentions.select("doc_id", "mention_id", "search_name", "in_rel", clean_search_name(F.col("search_name"), strict).alias("query"))
     find = search if fallback else lambda n, i, g, k, fuzzy, **o: fuzzy_search(n, g, k, fuzzy, **o) if fuzzy else phrase_search(n, i, g, k, **o)
-    return named.join(find(named, index, gazetteer, k, fuzzy, **only), "query").drop("query")
+    return named.join(find(named, index, gazetteer, k, fuzzy, **only), "query", "left" if every else "inner").drop("query")
 
 
 def best_by_phrase(names: DataFrame, index: DataFrame, gazetteer: DataFrame, feature_code: str, countries: bool = False) -> DataFrame:

@@ -84,4 +84,17 @@ def neural_scores(slots: DataFrame, vectors: DataFrame, weights: dict[str, np.nd
     return rows.mapInPandas(go, "doc_id long, mention_id int, slot int, score double")
 
 
+def country_scores(vectors: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """doc_id, mention_id, countries (probability of each country number): the country head, which looks at the mention's vector alone."""
+    shared = vectors.sparkSession.sparkContext.broadcast({k: weights[k] for k in ("text_country_w", "text_country_b", "country_head")})
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = shared.value
+        for pdf in batches:
+            x = np.array(pdf["tensor"].tolist(), np.float64).reshape(len(pdf), -1) @ w["text_country_w"].T + w["text_country_b"]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mention_id": pdf["mention_id"], "countries": list(_softmax(_sigmoid(x) @ w["country_head"].T))})
+
+    return vectors.select("doc_id", "mention_id", "tensor").mapInPandas(go, "doc_id long, mention_id int, countries array<double>")
+
+
 assert len(WEIGHTS) == len(FEATURES)

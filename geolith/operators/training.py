@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolith.operators.features import FEATURES
+from geolith.sources.scratch import stored
 
 
 def from_options(rows: DataFrame) -> DataFrame:
@@ -52,11 +53,23 @@ def labelled_only(rows: DataFrame) -> DataFrame:
     return rows.where("gold_id IS NOT NULL")
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with row_number, from 0 in an order over all: sorted by range, numbered within partitions, with the partitions' sizes added. No task sees all rows; the driver gets a number a partition."""
+    parts = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    parts = parts.withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
+    start = F.get(F.array(*map(F.lit, before)), F.col("_part").cast("int")) if before else F.lit(0)
+    return parts.withColumn("row_number", F.col("_in") + start).drop("_part", "_in")
+
+
 def head_tail(rows: DataFrame, share: float, order: str) -> tuple[DataFrame, DataFrame]:
     """The first round(share * n) rows by order, and the rest."""
-    n = round(share * rows.count())
-    head = rows.orderBy(order).limit(n)
-    return head, rows.join(head.select(order), order, "left_anti")
+    n, every = round(share * rows.count()), numbered(rows, order)
+    return every.where(F.col("row_number") < n).drop("row_number"), every.where(F.col("row_number") >= n).drop("row_number")
 
 
 def split_mark(rows: DataFrame, share: float, order: str, *groups: str) -> DataFrame:
@@ -67,8 +80,8 @@ def split_mark(rows: DataFrame, share: float, order: str, *groups: str) -> DataF
 
 def shuffled(rows: DataFrame, key: str, seed: int = 617, n: int | None = None) -> DataFrame:
     """Rows in the order of a seeded hash of their key, or the first n of them."""
-    rows = rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
-    return rows if n is None else rows.limit(n)
+    order = (F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.col(key))
+    return rows.orderBy(*order) if n is None else numbered(rows, *order).where(F.col("row_number") < n).drop("row_number")
 
 
 def sound(rows: DataFrame, tensor: str = "tensor") -> DataFrame:
@@ -87,12 +100,11 @@ def fit_linear(rows: DataFrame, rounds: int = 40, rate: float = 0.5, penalty: fl
 
     Each round is one pass of a distributed sum; the driver sees nine numbers. Features are divided by their deviation.
     """
-    own = rows.select("doc_id", "mention_id", F.col("is_correct").cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in FEATURES)).cache()
-    scale = [float(x or 1.0) or 1.0 for x in own.agg(*(F.stddev(c) for c in FEATURES)).first()]
-    has = F.max("y").over(Window.partitionBy("doc_id", "mention_id"))
-    own = own.withColumn("_has", has).where("_has > 0")
-    n, w = max(1, own.select("doc_id", "mention_id").distinct().count()), [0.0] * len(FEATURES)
+    every = rows.select("doc_id", "mention_id", F.col("is_correct").cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in FEATURES))
+    scale = [float(x or 1.0) or 1.0 for x in every.agg(*(F.stddev(c) for c in FEATURES)).first()]
     by = Window.partitionBy("doc_id", "mention_id")
+    own = every.withColumn("_has", F.max("y").over(by)).where("_has > 0").drop("_has").cache()  # dealt and sorted by mention, as the rounds need it
+    n, w = max(1, own.select("doc_id", "mention_id").distinct().count()), [0.0] * len(FEATURES)
     for _ in range(rounds):
         logit = sum((F.col(c) * (x / s) for c, x, s in zip(FEATURES, w, scale)), F.lit(0.0))
         e = own.withColumn("_e", F.exp(logit))
@@ -101,3 +113,25 @@ def fit_linear(rows: DataFrame, rounds: int = 40, rate: float = 0.5, penalty: fl
         w = [x + rate * (float(d or 0.0) / n - penalty * x) for x, d in zip(w, g)]
     own.unpersist()
     return tuple(x / s for x, s in zip(w, scale))
+
+
+#: Fixed: the kinds of annotated corpora, by source.
+SOURCES = {"tr": "toponyms", "lgl": "toponyms", "gwn": "toponyms", "gwn_complete": "toponyms", "synth": "toponyms", "syn_cities": "toponyms", "syn_caps": "toponyms", "prodigy": "options", "wiki": "sentences", "wiki_incorrect": "sentences"}
+
+
+def annotations(rows: DataFrame, source: str) -> DataFrame:
+    """text, start, end, gold_id of a source's corpus, by its layout."""
+    kind = SOURCES[source]
+    if kind == "toponyms":
+        own = from_toponyms(rows, source if source in TOPONYM_FIELDS else "gwn" if source.startswith("gwn") else "synth")
+    else:
+        own = from_options(rows) if kind == "options" else from_sentences(rows)
+    return own.select("text", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "gold_id")
+
+
+def parsed_documents(rows: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of a source's distinct texts, and their annotations by doc_id (doc_id, start, end, gold_id). doc_id is the order of the texts' digests, so a rerun gives the same."""
+    own = annotations(rows, source).withColumn("text_key", F.sha2("text", 256))
+    texts = numbered(own.groupBy("text_key").agg(F.first("text").alias("text")), "text_key").withColumnRenamed("row_number", "doc_id")
+    gold = own.join(texts.select("text_key", "doc_id"), "text_key").select("doc_id", "start", "end", "gold_id")
+    return texts.select("doc_id", "text"), gold

@@ -17,8 +17,9 @@ from geolith.operators import mentions as mn
 from geolith.operators import resolve as rs
 from geolith.operators import retrieval as rt
 from geolith.operators import scoring as sc
+from geolith.operators import slots as sl
 from geolith.operators import training as tr
-from geolith.plans import demo
+from geolith.plans import demo, large
 from geolith.plans.geoparse import Geoparser
 from geolith.sources import readers, sinks
 
@@ -154,10 +155,36 @@ def in_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of each distinct text once, given to all documents of that text."""
     names = demo.gazetteer(spark, sf_dir).select("asciiname").distinct()
-    stage = lambda docs: mn.pieces(docs).join(names, F.col("piece") == F.col("asciiname"))
+    stage = lambda docs: mn.pieces(docs, "text_key", "string").join(names, F.col("piece") == F.col("asciiname"))
     return mn.once_per_text(demo.read(spark, sf_dir, "documents"), stage).groupBy("doc_id").agg(F.count("*").alias("n_mentions"))
 
 
+_ODD_DOCS = "(1, 'Paris here'), (1, 'Berlin there'), (2, 'Paris here'), (CAST(NULL AS INT), 'Paris here'), (3, 'Berlin and Paris'), (3, 'Berlin and Paris'), (4, CAST(NULL AS STRING)), (5, '')"
+
+
+@_query(f"""WITH t(doc_id, text) AS (VALUES {_ODD_DOCS.replace("STRING", "VARCHAR")}), d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM t), w AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS name FROM d)
+SELECT doc_id::BIGINT AS doc_id, name AS search_name, position(name IN text)::INT - 1 AS start_char FROM w WHERE name IN ('Paris', 'Berlin')""")
+def once_per_text_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that repeat under other ids, ids that repeat with other texts, null ids and texts."""
+    docs, tag = demo.literal(spark, _ODD_DOCS, "doc_id, text").withColumn("doc_id", F.col("doc_id").cast("long")), mn.DictionaryTagger(["Paris", "Berlin"])
+    return mn.once_per_text(docs, lambda once: mn.extract_mentions(once, tag, key="text_key", kind="string")).select("doc_id", "search_name", "start_char")
+
+
+_LONG_NAMES = "('1', 'United Kingdom of Great Britain and Northern Ireland', 9), ('2', 'Saint Helena, Ascension and Tristan da Cunha', 3), ('3', 'South Georgia and the South Sandwich Islands', 4), ('4', 'Islands', 2), ('5', 'Great Britain', 7)"
+_LONG_QUERIES = "('United Kingdom of Great Britain and Northern Ireland'), ('Saint Helena, Ascension and Tristan da Cunha'), ('Georgia and the South Sandwich Islands'), ('Great Britain and Northern Ireland'), ('United Kingdom of Little Britain and Northern Ireland'), ('great britain'), ('Islands')"
+
+
+@_query(f"""WITH g(geonameid, name, alt_name_length) AS (VALUES {_LONG_NAMES}), q(query) AS (VALUES {_LONG_QUERIES}),
+h AS (SELECT query, geonameid, alt_name_length FROM q JOIN g ON contains(' ' || trim(regexp_replace(lower(name), '[^a-z]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(query), '[^a-z]+', ' ', 'g')) || ' '))
+SELECT query, (row_number() OVER (PARTITION BY query ORDER BY alt_name_length DESC, geonameid) - 1)::INT AS slot, geonameid FROM h""")
+def phrase_search_long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of seven words and more, found whole and by parts, through the plain and the ranked index."""
+    rows = demo.literal(spark, _LONG_NAMES, "geonameid, name, alt_name_length").withColumns({"asciiname": F.col("name"), "alternativenames": F.array().cast("array<string>"), "country_code3": F.lit("X"), "feature_class": F.lit("P")})
+    asked = demo.literal(spark, _LONG_QUERIES, "query")
+    plain, ranked = rt.phrase_search(asked, gz.phrase_index(rows), rows), rt.phrase_search(asked, gz.ranked_index(rows), rows)
+    return plain.intersect(ranked)
+
+
 @_query()
 def dictionary_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tagger with names of several words. Names are a parameter of the tagger and few here: those of the gazetteer that has three a word of the benchmark."""
@@ -369,7 +396,10 @@ reals AS (SELECT *, row_number() OVER (PARTITION BY doc_id, mention_id {_ORDER})
 
 
 def _top(spark: SparkSession, sf_dir: str, n: int, strict: bool = False) -> DataFrame:
-    best = rs.resolve(_scored(spark, sf_dir).withColumn("score", F.round("score", 9)), SLOTS, n, strict)
+    m, rows, _ = _candidates(spark, sf_dir)
+    rows = ft.name_features(rows).withColumns({"parent_country": F.lit(""), "parent_adm1": F.lit("")})
+    rows = ft.coherence(ft.parent_features(ft.with_mentions(rows, m)))
+    best = rs.resolve_arrays(sl.scored(rows, SLOTS, sc.WEIGHTS, ("geonameid",), places=9), n, strict)
     return best.select("doc_id", "mention_id", "rank", "place.geonameid", "reason")
 
 
@@ -626,10 +656,22 @@ def json_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.read(spark, sf_dir, "nation").select("n_nationkey", sinks.as_json("n_nationkey", "n_name").alias("json"))
 
 
+@_query("WITH " + large.SQL)
+def large_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of hot and rare words in a gazetteer of a hundred entries a document."""
+    return large.search(spark, sf_dir)
+
+
+@_query()
+def large_geoparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on that gazetteer."""
+    return large.geoparse(spark, sf_dir)
+
+
 @_query()
 def geoparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job: documents to resolved places."""
     g = demo.gazetteer(spark, sf_dir)
     names = [r.asciiname for r in g.select("asciiname").distinct().collect()]  # a parameter of the tagger: some hundred words of the benchmark
-    parser = Geoparser(g, gz.phrase_index(g), mn.DictionaryTagger(names))
+    parser = Geoparser(g, gz.ranked_index(g), mn.DictionaryTagger(names))
     return parser.resolved(demo.read(spark, sf_dir, "documents"))

@@ -18,11 +18,12 @@ HIERARCHY = "parent_id string, child_id string, kind string"
 TOKEN = "struct<text: string, start: int, end: int, sentence: int, label: string>"
 MENTION = "doc_id long, mention_id int, search_name string, start_char int, end_char int, label string, sentence int, in_rel string"
 STORY = "Headline string, Rawtext string, storyid long, events array<struct<event_id: long, text: string, name: string, sentence_num: int>>"
-#: Event-coded news: 26 tab-separated columns without a header.
-CODED_EVENT = ", ".join(
-    f"{x} string"
-    for x in "event_id event_date source_name source_sectors source_country event_text cameo_code intensity target_name target_sectors target_country story_id sentence_number publisher city district province country latitude longitude headline sentence url language source_id target_id".split()
-)
+#: Fixed: the 26 columns of event-coded news, in the order of its headerless tab-separated files.
+CODED_EVENT_COLUMNS = (
+    "Event ID", "Event Date", "Source Name", "Source Sectors", "Source Country", "Event Text", "CAMEO Code", "Intensity", "Target Name", "Target Sectors", "Target Country", "Story ID", "Sentence Number",
+    "Event Sentence", "Publisher", "Source", "Headline", "City", "District", "Province", "Country", "Latitude", "Longitude", "productID", "holdingID", "Language",
+)
+CODED_EVENT = ", ".join(f"`{x}` string" for x in CODED_EVENT_COLUMNS)
 #: What a resolved mention carries from the gazetteer.
 PLACE = ("geonameid", "name", "lat", "lon", "feature_class", "feature_code", "country_code3", "admin1_code", "admin1_name", "admin2_code", "admin2_name")
 

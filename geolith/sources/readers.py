@@ -43,7 +43,7 @@ def read_country_info(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_country_codes(spark: SparkSession, path: str, column: str = "Alpha-3 code", more: tuple[str, ...] = ("CUW", "XKX", "SCG", "SSD", "BES", "SXM", "NULL", "NA")) -> DataFrame:
-    """code3, idx: codes in the order of a CSV file, then those that it lacks (a fixed list)."""
+    """code3, idx: codes in the order of a CSV file, then those that it lacks (`more`; fixed: a model's country numbers rest on it)."""
     codes = [r[0] for r in spark.read.csv(path, header=True, nullValue="\u0000").select(F.trim(F.col(f"`{column}`"))).collect()]  # a row per country
     return spark.createDataFrame([(c, i) for i, c in enumerate([*codes, *more])], "code3 string, idx int")
 
@@ -55,9 +55,19 @@ def read_feature_codes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_coded_events(spark: SparkSession, path: str) -> DataFrame:
+    """Event-coded news, its columns named as in schemas.CODED_EVENT_COLUMNS, all strings."""
     return _no_nulls(_tsv(spark, path, schemas.CODED_EVENT))
 
 
+def coded_events(rows: DataFrame) -> DataFrame:
+    """storyid, event_id, Headline, Rawtext (the event's sentence), text (the same), name, sentence_num of event-coded news: what story_events gives for stories."""
+    sentence = F.col("`Event Sentence`")
+    return rows.select(
+        F.col("`Story ID`").alias("storyid"), F.col("`Event ID`").alias("event_id"), "Headline", sentence.alias("Rawtext"), sentence.alias("text"), F.col("`Event Text`").alias("name"),
+        F.col("`Sentence Number`").try_cast("int").alias("sentence_num"),
+    )
+
+
 def read_stories(spark: SparkSession, path: str) -> DataFrame:
     """Stories with their events, one JSON object a line."""
     return spark.read.schema(schemas.STORY).json(path)

@@ -34,6 +34,12 @@ def write_table(df: DataFrame, path: str, **partition: object) -> None:
     df.write.mode("append").partitionBy(*partition).parquet(path)
 
 
+def replace_table(df: DataFrame, path: str, **partition: object) -> None:
+    """df in the place of what is stored under fixed partition values; other partitions stay."""
+    folder = "/".join(f"{k}={v}" for k, v in partition.items())
+    df.write.mode("overwrite").parquet(f"{path}/{folder}")
+
+
 def as_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns))
 

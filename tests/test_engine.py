@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from geolith import schemas
 from geolith.functions import math as fm
 from geolith.functions import text as fx
-from geolith.operators import evaluate, events, features, gazetteer, mentions, resolve, retrieval, scoring, training
+from geolith.operators import evaluate, events, features, gazetteer, mentions, resolve, retrieval, scoring, slots, training
 from geolith.plans import queries
 from geolith.plans.geoparse import Geoparser
 from geolith.sources import readers, sinks
@@ -83,7 +83,12 @@ def test_stories_corpora_and_tables(spark, tmp_path):
         readers.read_corpus(spark, "x.csv")
     (tmp_path / "e.tsv").write_text("\t".join(str(i) for i in range(26)) + "\n")
     coded = readers.read_coded_events(spark, str(tmp_path / "e.tsv"))
-    assert len(coded.columns) == 26 and coded.first().event_id == "0"
+    assert coded.columns == [
+        "Event ID", "Event Date", "Source Name", "Source Sectors", "Source Country", "Event Text", "CAMEO Code", "Intensity", "Target Name", "Target Sectors", "Target Country", "Story ID", "Sentence Number",
+        "Event Sentence", "Publisher", "Source", "Headline", "City", "District", "Province", "Country", "Latitude", "Longitude", "productID", "holdingID", "Language",
+    ]
+    assert [coded.first()[c] for c in coded.columns] == [str(i) for i in range(26)]
+    assert readers.coded_events(coded).first().asDict() == {"storyid": "11", "event_id": "0", "Headline": "16", "Rawtext": "13", "text": "13", "name": "5", "sentence_num": 12}
     sinks.write_table(spark.range(3), str(tmp_path / "t"), source="a", fuzzy=0)
     sinks.write_table(spark.range(2), str(tmp_path / "t"), source="b", fuzzy=0)
     assert readers.read_table(spark, str(tmp_path / "t"), source="b").count() == 2
@@ -285,6 +290,53 @@ def test_first_n(spark):
     assert resolve.first_n(spark.range(5), -1).count() == 5 and resolve.first_n(spark.range(5), 2).count() == 2
 
 
+def test_taggers_are_loaded_once_and_checked():
+    made = []
+    tag = mentions.LoadedTagger(lambda: made.append(1) or mentions.DictionaryTagger(["Berlin"]))
+    assert [len(tag(mentions.tokenise(t))) for t in ("Berlin", "Paris", "In Berlin")] == [1, 0, 1] and made == [1]
+    mentions.check_tagger(tag)
+    for bad in (None, mentions.LoadedTagger(lambda: 1 / 0), lambda tokens: [(0, 99, "GPE")], lambda tokens: [("x",)]):
+        with pytest.raises(ValueError):
+            mentions.check_tagger(bad)
+    with pytest.raises(ValueError):
+        Geoparser(None, None, lambda tokens: [(5, 2, "GPE")])
+
+
+def test_tables_are_looked_at(spark, gaz, index, tmp_path):
+    assert gazetteer.missing({"a": gaz, "b": gaz.limit(0), "c": None}) == ["b", "c"]
+    with pytest.raises(ValueError):
+        Geoparser(gaz, index.limit(0), mentions.DictionaryTagger(["Berlin"])).check()
+    gaz.write.parquet(str(tmp_path / "g"))
+    gaz.createOrReplaceTempView("some_places")
+    assert gazetteer.table_exists(spark, str(tmp_path / "g")) and not gazetteer.table_exists(spark, str(tmp_path / "h")) and gazetteer.table_exists(spark, "some_places") and not gazetteer.table_exists(spark, "no_places")
+
+
+def test_country_head(spark):
+    w = scoring.random_weights(3, bert=4)
+    rows = spark.createDataFrame([(1, 0, [1.0, 0.5, -1.0, 2.0])], "doc_id long, mention_id int, tensor array<double>")
+    got = scoring.country_scores(rows, w).first().countries
+    want = scoring.forward(w, np.array([[1.0, 0.5, -1.0, 2.0]]), np.zeros((1, 4)), np.zeros((1, 4)), np.zeros((1, 1), int), np.zeros((1, 1), int), np.zeros((1, 1, 9)))[1][0]
+    assert np.allclose(got, want) and abs(sum(got) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("k", [0, 1, 5, 6, 7, 8, 11])
+@pytest.mark.parametrize("strict", [False, True])
+def test_arrays_decide_as_packed_slots_do(spark, k, strict):
+    """Eight slots, with fewer candidates, just as many, and more."""
+    rng = np.random.default_rng(k)
+    rows = [(1, m, s, f"g{s}", "A" if s % 2 else "B", f"p{s % 3}", *map(float, rng.integers(0, 4, 9) / 4)) for m in range(6) for s in range(k if m else max(0, k - 1))]
+    cols = "doc_id long, mention_id int, slot int, geonameid string, country_code3 string, admin1_name string, " + ", ".join(f"{c} double" for c in features.FEATURES)
+    df, only = spark.createDataFrame(rows, cols), spark.createDataFrame([(1, m) for m in range(7)], "doc_id long, mention_id int")
+    packed_ = features.with_null_candidate(df, only).withColumns({"code_idx": F.lit(1), "country_idx": F.lit(1)})
+    packed_ = packed_.withColumns({c: F.when(F.col("geonameid") == "NULL", float(strict)).otherwise(F.col(c)) for c in ("adm1_count", "country_count")})
+    for weights in (scoring.WEIGHTS, tuple(-x / 50 for x in scoring.WEIGHTS), (0.0,) * 9):
+        plain = scoring.linear_scores(features.packed(packed_, 8, 0, ("geonameid",)), weights).withColumn("score", F.round("score", 9))
+        for n in (1, 3):
+            want = resolve.resolve(plain, 8, n, strict).select("mention_id", "rank", "slot", "score", "place.geonameid", "reason")
+            got = resolve.resolve_arrays(slots.scored(features.with_mentions(df, only), 8, weights, ("geonameid",), 9, strict), n, strict).select("mention_id", "rank", "slot", "score", "place.geonameid", "reason")
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 @pytest.fixture(scope="module")
 def parser(spark, gaz, index):
     up = spark.createDataFrame([("7", "2950159")], "child_id string, parent_id string")
@@ -302,6 +354,24 @@ def test_geoparse(spark, parser):
     assert len(out) == 5 and out[2].geolocated_ents == [] and [x.search_name for x in out[1].geolocated_ents] == ["Berlin", "Germany"]
     assert {r.geonameid for r in parser.resolved(docs, known_country="USA").where("doc_id = 1 AND mention_id = 0").collect()} <= {"4500771", None}
     assert parser.resolved(docs, top_n=3).where("doc_id = 1 AND mention_id = 0").count() == 3
+    eleven = resolve.extracted(parser.resolved(docs)).where("doc_id = 1").orderBy("start_char").collect()
+    assert [(r.extracted_name, r.geonameid, r.start_char, r.end_char) for r in eleven] == [("Berlin", "2950159", 6, 12), ("Germany", "2921044", 16, 23)] and len(eleven[0]) == 12
+
+
+def test_ids_that_repeat_and_null_ids(spark, parser):
+    docs = spark.createDataFrame([(1, "Berlin here"), (1, "New York there"), (2, "Berlin here"), (None, "Berlin here"), (3, "Berlin here"), (3, "Berlin here")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.mention_id, r.search_name) for r in parser.mentions(docs).collect())
+    by_key = ["Berlin", "New York"] if parser.mentions(docs).where("doc_id = 1 AND mention_id = 0").first().search_name == "Berlin" else ["New York", "Berlin"]
+    assert got == [*((1, k, x) for k, x in enumerate(by_key)), (2, 0, "Berlin"), (3, 0, "Berlin")]
+    assert sorted((r.doc_id, r.search_name) for r in parser.resolved(docs).collect()) == [(1, "Berlin"), (1, "New York"), (2, "Berlin"), (3, "Berlin")]
+
+
+def test_plan_of_the_job(spark, gaz, parser, monkeypatch):
+    """After retrieval one exchange by document serves features, coherence and decision, and no slot is a row."""
+    found = spark.createDataFrame([(1, 0, "Berlin", 0, 6, "GPE", 0, "")], schemas.MENTION)
+    plan = parser.decided(found)._jdf.queryExecution().executedPlan().toString()
+    last = plan[: plan.index("hashpartitioning(doc_id")]
+    assert "Exchange" not in last.rsplit("\n", 1)[0] and plan.count("REPARTITION_BY_COL") == 1 and "Generate explode(sequence" not in plan
 
 
 def test_neural_geoparse(spark, gaz, index):
@@ -321,7 +391,9 @@ def test_event_job(spark, parser):
     def answerer(questions, contexts):
         return [(c.find("Berlin"), c.find("Berlin") + 6, "Berlin") for c in contexts]
 
-    rows = {r.event_id: r for r in parser.events(readers.story_events(stories), answerer, info).collect()}
+    rows = {r.event_id: r for r in parser.events(stories, answerer, info, limit=1).collect()}
+    assert rows[10].extracted_name == "Berlin" and rows[10].sentence_num == 0 and rows[10].partial_doc == "Head\nProtest in Berlin today."
+    assert parser.events(stories, answerer, info, limit=0).count() == 0 and parser.events(readers.story_events(stories), answerer, info).count() == 2
     assert rows[10].place == "Berlin" and rows[10].country == "Germany" and rows[10].event_loc_reason == events.REASONS["match"] and rows[11].qa_answer == "Berlin"
 
 
@@ -337,6 +409,10 @@ def test_evaluation_counts_missing(spark):
 def test_training_parts(spark):
     head, tail = training.head_tail(spark.range(10), 0.35, "id")
     assert head.count() == 4 and tail.count() == 6
+    shuffled = spark.range(1000, numPartitions=7).selectExpr("(id * 7919) % 1000 as id")
+    assert [(r.row_number, r.id) for r in training.numbered(shuffled, "id").orderBy("row_number").collect()] == [(i, i) for i in range(1000)]
+    head, tail = training.head_tail(shuffled, 0.3, "id")
+    assert {r.id for r in head.collect()} == set(range(300)) and tail.count() == 700 and training.numbered(spark.range(0), "id").count() == 0
     assert training.shuffled(spark.range(20), "id", 1).collect() == training.shuffled(spark.range(20), "id", 1).collect() and training.shuffled(spark.range(20), "id", n=3).count() == 3
     assert training.sound(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "tensor array<double>")).count() == 1
     sent = spark.createDataFrame([("t", 1, 2, 7)], "text string, start_char_sent int, end_char_sent int, correct_geonamesid long")

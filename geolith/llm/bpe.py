@@ -29,9 +29,9 @@ ODD = frozenset(("No", "Nl", "Cn"))
 WHOLE = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Words in each of a cache's two halves, and words whose values are kept in Arrow arrays.
-CACHE, KNOWN = 100_000, 1_500_000
+CACHE, KNOWN = 50_000, 600_000
 #: Bytes of text that are cut into words together; a longer text is alone.
-PIECE = 16 << 20
+PIECE = 4 << 20
 
 _loaded: dict[str, Encoder] = {}
 

@@ -26,6 +26,8 @@ from geolith.llm.words import pieces
 DIMS = 4096
 #: Bytes of a long text that are looked at together.
 WINDOW = 1 << 20
+#: Bytes and texts that are counted together; each text takes DIMS numbers.
+PART = (1 << 17, 128)
 #: Documents of a language that are looked at for fitting, at most about; and its clusters, at most.
 SAMPLE, CLUSTERS = 800, 4
 #: A cluster with a smaller share of its language's sample is left out: it is of texts in another language or of none.
@@ -174,11 +176,12 @@ def frequencies(rows: DataFrame) -> np.ndarray:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(DIMS + 1, np.int64)
         for batch in batches:
-            for _, part in pieces(batch.column(0)):
+            for _, part in pieces(batch.column(0), *PART):
                 df[:DIMS] += (counts(part) > 0).sum(axis=0)
                 df[DIMS] += len(part)
         if df[DIMS]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(df)], ["place", "n"])
+        give_back()
 
     df = np.zeros(DIMS + 1, np.int64)
     for r in rows.select("text").mapInArrow(go, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
@@ -195,7 +198,7 @@ def cosines(rows: DataFrame, model: Model) -> np.ndarray:
         own, at, seen = shared.value, {x: i for i, x in enumerate(names)}, np.zeros(math.prod(shape), np.int64)
         of = np.array([at[x] for x in own.langs])
         for batch in batches:
-            for start, part in pieces(batch.column(1)):
+            for start, part in pieces(batch.column(1), *PART):
                 lang = np.array([at.get(x, -1) for x in batch.column(0).slice(start, len(part)).to_pylist()])
                 tf = counts(part)
                 best, score = own.nearest(tf)
@@ -204,6 +207,7 @@ def cosines(rows: DataFrame, model: Model) -> np.ndarray:
                 np.add.at(seen, place, 1)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["place", "n"])
+        give_back()
 
     seen = np.zeros(math.prod(shape), np.int64)
     for r in rows.select("lang", "text").mapInArrow(go, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
@@ -221,7 +225,7 @@ def fit(docs: DataFrame, train: Column | None = None, most: int = SAMPLE, cluste
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, part in pieces(batch.column(1)):
+            for start, part in pieces(batch.column(1), *PART):
                 tf = counts(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array([x.tobytes() for x in tf], pa.binary())], ["lang", "tf"])
 
@@ -253,7 +257,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, part in pieces(batch.column(2)):
+            for start, part in pieces(batch.column(2), *PART):
                 lang, score, out = shared.value.predict(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), batch.column(1).slice(start, len(part)), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -267,7 +271,7 @@ def known_language(docs: DataFrame, model: Model) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, part in pieces(batch.column(batch.schema.get_field_index("text")).cast(pa.string())):
+            for start, part in pieces(batch.column(batch.schema.get_field_index("text")).cast(pa.string()), *PART):
                 yield batch.slice(start, len(part)).filter(pa.array([not x for x in shared.value.predict(part)[2]], pa.bool_()))
         give_back()
 

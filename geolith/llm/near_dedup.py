@@ -257,13 +257,14 @@ def links(members: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int,
     while True:
         rows = named(rest)
         # members that could not share enough with the smallest one of the group are done
-        comps = rows.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min("n").alias("least_n"))
-        open_ = comps.groupBy("key").agg(F.count("*").alias("comps"), F.min("least_n").alias("least_n"), F.max_by("comp", F.struct("size", "comp")).alias("largest")).where("comps > 1").drop("comps")
+        open_ = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least_n")).where("low < high").select("key", "least_n")
         rows = stored(join_hot(rows, open_, "key", hot, "doc").where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("least_n"))).drop("least_n"), "members")
         if rows.isEmpty():
             return labels
-        # members outside of the group's largest component come first: once they were centres, it is alone
-        rows = rows.withColumn("order", F.struct((F.col("comp") == F.col("largest")).alias("large"), "comp", "doc")).drop("largest")
+        # members of small components come first: once they were centres, a group's largest component is alone
+        rows = rows.withColumn("part", F.struct("key", "comp"))
+        rows = join_hot(rows, rows.groupBy("part").agg(F.count("*").alias("size")), "part", hot_keys(rows, "part"), "doc")
+        rows = rows.withColumn("order", F.struct("size", "comp", "doc")).drop("size", "part")
         order = Window.partitionBy("key").orderBy("order")  # limits run before rows are moved
         centres = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
         centres = stored(centres.select("key", "order", F.col("doc").alias("c"), F.col("comp").alias("c_comp"), F.col("left").alias("c_left"), F.col("n").alias("c_n")), "centres")

@@ -105,9 +105,14 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e
 
 
-@_query("""SELECT 'both' AS case_name, 3 AS extent UNION ALL SELECT 'nld', 2 UNION ALL SELECT 'usa', 1 UNION ALL SELECT 'none', 1""")
+_EXTENT = "('New York', 'New York', 'A', 'ADM1', 'USA'), ('Provincie Noord-Holland', 'North Holland', 'A', 'ADM1', 'NLD')"
+
+
+@_query(f"""WITH g(name, asciiname, feature_class, feature_code, country_code3) AS (VALUES {_EXTENT}), c(case_name, code) AS (VALUES ('both', '%'), ('nld', 'NLD'), ('usa', 'USA'), ('none', '')),
+h AS (SELECT case_name, bool_or(country_code3 = 'USA' AND 'New York' IN (name, asciiname)) AS usa, bool_or(country_code3 = 'NLD' AND 'North Holland' IN (name, asciiname)) AS nld FROM c LEFT JOIN g ON country_code3 LIKE code GROUP BY 1)
+SELECT case_name, CASE WHEN usa AND nld THEN 3 WHEN nld THEN 2 ELSE 1 END AS extent FROM h""")
 def data_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = demo.literal(spark, "('New York', 'New York', 'A', 'ADM1', 'USA'), ('Provincie Noord-Holland', 'North Holland', 'A', 'ADM1', 'NLD')", "name, asciiname, feature_class, feature_code, country_code3").withColumn("alternativenames", F.array("asciiname"))
+    rows = demo.literal(spark, _EXTENT, "name, asciiname, feature_class, feature_code, country_code3").withColumn("alternativenames", F.array("asciiname"))
     cases = {"both": rows, "nld": rows.where("country_code3 = 'NLD'"), "usa": rows.where("country_code3 = 'USA'"), "none": rows.limit(0)}
     return spark.createDataFrame([(k, int(gz.data_extent(v))) for k, v in cases.items()], "case_name string, extent int")
 
@@ -422,7 +427,8 @@ def resolve_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLOT_SCORES = "(1, 0, 0, 0.5, true), (1, 0, 1, 0.2, true), (1, 0, 7, 0.3, false), (2, 0, 0, 0.2, true), (2, 0, 1, 0.1, true), (2, 0, 7, 0.7, false), (3, 0, 0, 0.2, true), (3, 0, 1, 0.5, true), (3, 0, 7, 0.3, false), (4, 0, 0, 0.4, true), (4, 0, 1, 0.4, true), (4, 0, 2, 0.1, true), (4, 0, 7, 0.1, false), (5, 0, 3, 0.9, false), (5, 0, 7, 0.1, false), (6, 0, 0, 0.3, true), (6, 0, 7, 0.7, true)"
 
 
-@_query("""SELECT * FROM (VALUES (1, 0, 1, '', true), (2, CAST(NULL AS INT), 1, 'no answer', true), (3, NULL, 1, 'no entry', false), (4, 0, 1, '', true), (5, NULL, 1, 'no candidates', false), (6, NULL, 1, 'no answer', true)) t(doc_id, slot, rank, reason, in_strict)""")
+@_query(f"""WITH t(doc_id, mention_id, slot, score, real) AS (VALUES {_SLOT_SCORES}), m AS (SELECT doc_id, max(score) AS best, max(if(slot = 7, score, NULL)) AS last, max(if(real, slot, NULL)) AS none, arg_max(slot, if(real, score * 1000 - slot, NULL)) AS top FROM t GROUP BY 1),
+r AS (SELECT *, CASE WHEN last = best THEN 'no answer' WHEN none IS NULL THEN 'no candidates' WHEN top = none THEN 'no entry' ELSE '' END AS reason FROM m) SELECT doc_id, if(reason = '', top, NULL) AS slot, 1 AS rank, reason, reason IN ('', 'no answer') AS in_strict FROM r""")
 def no_answer_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = demo.literal(spark, _SLOT_SCORES, "doc_id, mention_id, slot, score, real").withColumn("score", F.col("score").cast("double"))
     strict = rs.resolve(rows, 8, 1, True).select("doc_id", F.lit(True).alias("in_strict"))
@@ -632,9 +638,12 @@ def event_mention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.mentions_before(half).select("doc_id", F.size("geo").cast("long").alias("n_before"))
 
 
-@_query("""SELECT * FROM (VALUES (1, 'Berlin', 'Berlin', 'Germany', 'Match'), (2, 'Homs', 'Homs', 'SYR', 'Match'), (3, NULL, NULL, NULL, 'No')) t(event_id, place, province, country, event_loc_reason)""")
+_EVENT_ROWS = "(1, 'Berlin', 'DEU', 'Match'), (2, 'Homs', 'SYR', 'Match'), (3, CAST(NULL AS STRING), CAST(NULL AS STRING), 'No')"
+
+
+@_query(f"WITH t(event_id, p, c, event_loc_reason) AS (VALUES {_EVENT_ROWS}), i(code3, name) AS (VALUES ('DEU', 'Germany')) SELECT event_id, p AS place, p AS province, coalesce(name, c) AS country, event_loc_reason FROM t LEFT JOIN i ON c = code3")
 def event_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = demo.literal(spark, "(1, 'Berlin', 'DEU', 'Match'), (2, 'Homs', 'SYR', 'Match'), (3, CAST(NULL AS STRING), CAST(NULL AS STRING), 'No')", "event_id, p, c, event_loc_reason")
+    rows = demo.literal(spark, _EVENT_ROWS, "event_id, p, c, event_loc_reason")
     loc = F.struct(F.col("p").alias("name"), F.lit("").alias("admin2_name"), F.col("p").alias("admin1_name"), F.col("c").alias("country_code3"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit("1").alias("geonameid"))
     events = rows.withColumns({"event_loc": loc, "qa": F.struct(F.lit("x").alias("answer"))})
     return ev.event_rows(events, demo.literal(spark, "('DEU', 'Germany')", "code3, name")).select("event_id", "place", "province", "country", "event_loc_reason")
@@ -643,7 +652,7 @@ def event_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORIES = "(1, '[{\"event_id\": 10, \"name\": \"A\"}, {\"event_id\": 11, \"name\": \"B\"}]'), (2, '[]'), (3, '[{\"event_id\": 12, \"name\": \"C\"}]')"
 
 
-@_query("SELECT * FROM (VALUES (1::BIGINT, 10::BIGINT, 'A', 'H1'), (1, 11, 'B', 'H1'), (3, 12, 'C', 'H3')) t(storyid, event_id, name, \"Headline\")")
+@_query(f"WITH t(storyid, events) AS (VALUES {_STORIES}), e AS (SELECT storyid, unnest(json_extract(events, '$[*]')) AS x FROM t) SELECT storyid::BIGINT AS storyid, json_extract(x, '$.event_id')::BIGINT AS event_id, json_extract_string(x, '$.name') AS name, 'H' || storyid AS \"Headline\" FROM e")
 def story_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = demo.literal(spark, _STORIES, "storyid, events")
     kind = "array<struct<event_id: long, text: string, name: string, sentence_num: int>>"

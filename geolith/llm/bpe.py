@@ -31,7 +31,7 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 #: Words in each of a cache's two halves, and words whose values are kept in Arrow arrays.
 CACHE, KNOWN = 50_000, 600_000
 #: Bytes of text that are cut into words together; a longer text is alone.
-PIECE = 4 << 20
+PIECE = 8 << 20
 
 _loaded: dict[str, Encoder] = {}
 

@@ -185,3 +185,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_mb: int = MAX_
             docs = stored(docs.mapInArrow(without(last), docs.schema), "clean")
         last = rows
     return docs.mapInArrow(without(last), docs.schema)
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The query op2_decontaminate in DuckDB; a row number stands for a document, as ids may repeat.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+s AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+x AS (SELECT DISTINCT n, array_to_string(w[i:i + n - 1], ' ') AS v, item_id FROM s),
+p AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM x) WHERE len(w) >= n),
+h AS (SELECT r, i, x.n, item_id FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS v FROM p) q JOIN x USING (n, v)),
+m AS (SELECT r, len(list_distinct(flatten(list(range(i, i + n))))) AS n_hit, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN m USING (r)
+"""

@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.SQL, "op6_mix_sources": mixing.SQL, "op9_near_dedup": near_dedup.SQL, "op10_warc": warc.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op4_substring_dedup": substring_dedup.SQL, "op6_mix_sources": mixing.SQL, "op9_near_dedup": near_dedup.SQL, "op10_warc": warc.SQL}

@@ -33,13 +33,39 @@ def marked(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ok_country": same("country_code3"), "ok_code": same("feature_code"), "ok_adm1": same("admin1_code"), "ok_id": same("geonameid"), "km": F.when(~F.col("missing"), km)})
 
 
+def median(rows: DataFrame, value: str, *keys: str, width: float = 1.0) -> DataFrame:
+    """keys and median: the exact median of value, which is not negative, by keys (one row without any); a group of nulls has no row.
+
+    Equal values are counted first. Bins of `width` tell in which one or two the middle lies, and only their
+    values are put in order, so no task holds all values of a group.
+    """
+    by = Window.partitionBy(*keys)
+    # NaN comes last, as in Spark's own order
+    place = F.when(F.isnan(value), F.lit(float("inf"))).otherwise(F.floor(F.col(value) / width).cast("double"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"), F.first(place).alias("bin"))
+    bins = counted.groupBy(*keys, "bin").agg(F.sum("n").alias("in_bin"))
+    bins = bins.withColumns({"total": F.sum("in_bin").over(by), "before": F.sum("in_bin").over(by.orderBy("bin")) - F.col("in_bin")})
+    bins = bins.withColumns({"low": F.floor((F.col("total") - 1) / 2), "high": F.ceil((F.col("total") - 1) / 2)})
+    middle = bins.where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("in_bin") > F.col("low"))).drop("in_bin", "total")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "bin")]
+    near = counted.alias("a").join(middle.alias("b"), same).select("a.*", "before", "low", "high")
+    first = Window.partitionBy(*keys, "bin").orderBy("v")
+    upto = near.withColumn("upto", F.col("before") + F.sum("n").over(first))
+    at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("v")))
+    return upto.groupBy(*keys).agg(((at("low") + at("high")) / 2).alias("median"))
+
+
 def evaluate(scored: DataFrame, *keys: str) -> DataFrame:
     """A row per value of keys (one without any) with the metrics."""
-    return marked(predictions(scored, *keys)).groupBy(*keys).agg(
+    rows = marked(predictions(scored, *keys))
+    middle = median(rows, "km", *keys).alias("m")
+    means = rows.groupBy(*keys).agg(
         F.count("*").alias("mentions"), F.avg("ok_country").alias("correct_country"), F.avg("ok_code").alias("correct_code"), F.avg("ok_adm1").alias("correct_adm1"), F.avg("ok_id").alias("exact_match"),
-        F.avg("km").alias("avg_dist"), F.median("km").alias("median_dist"), F.avg((F.col("km") <= 161).cast("int")).alias("acc_at_161"),
+        F.avg("km").alias("avg_dist"), F.avg((F.col("km") <= 161).cast("int")).alias("acc_at_161"),
         F.coalesce(F.try_divide(F.sum(F.col("credited").cast("int")), F.sum(F.col("missing").cast("int"))), F.lit(0.0)).alias("missing_correct"), F.avg(F.col("missing").cast("int")).alias("total_missing"),
-    )
+    ).alias("a")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"m.{c}")) for c in keys] or F.lit(True)  # without keys both are one row
+    return means.join(middle, same, "left").select("a.*", F.col("median").alias("median_dist"))
 
 
 def macro_average(by_dataset: DataFrame) -> DataFrame:

@@ -406,6 +406,17 @@ def test_evaluation_counts_missing(spark):
     assert evaluate.missing_at(rows, 1).first().missing_share == 0.5
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_median_is_exact(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(k, v) for k, n in (("a", 101), ("b", 100), (None, 7), ("one", 1), ("two", 2)) for v in rng.choice([0.0, 0.0, 0.25, 3.5, *(20_000 * rng.random(40))], n).tolist()] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect() if r.m is not None}
+    assert {r.k: r["median"] for r in evaluate.median(df, "v", "k").collect()} == want
+    assert evaluate.median(df, "v").first()["median"] == df.agg(F.median("v")).first()[0]
+    assert evaluate.median(df.limit(0), "v", "k").count() == 0
+
+
 def test_training_parts(spark):
     head, tail = training.head_tail(spark.range(10), 0.35, "id")
     assert head.count() == 4 and tail.count() == 6

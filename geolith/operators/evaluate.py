@@ -65,7 +65,9 @@ def evaluate(scored: DataFrame, *keys: str) -> DataFrame:
         F.coalesce(F.try_divide(F.sum(F.col("credited").cast("int")), F.sum(F.col("missing").cast("int"))), F.lit(0.0)).alias("missing_correct"), F.avg(F.col("missing").cast("int")).alias("total_missing"),
     ).alias("a")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"m.{c}")) for c in keys] or F.lit(True)  # without keys both are one row
-    return means.join(middle, same, "left").select("a.*", F.col("median").alias("median_dist"))
+    at = means.columns.index("avg_dist") + 1
+    columns = [F.col(f"a.{c}") for c in means.columns]
+    return means.join(middle, same, "left").select(*columns[:at], F.col("median").alias("median_dist"), *columns[at:])
 
 
 def macro_average(by_dataset: DataFrame) -> DataFrame:

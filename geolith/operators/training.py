@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +75,13 @@ def head_tail(rows: DataFrame, share: float, order: str) -> tuple[DataFrame, Dat
 
 
 def split_mark(rows: DataFrame, share: float, order: str, *groups: str) -> DataFrame:
-    """rows with is_train, the first round(share * n) of each group by order."""
+    """rows with is_train, the first round(share * n) of each group by order; nulls come last.
+
+    The share counts as the decimal it is written as, and halves are rounded up: 0.7 * 45 is 31.5, not a little less.
+    """
     w = Window.partitionBy(*groups)
-    return rows.withColumn("is_train", F.row_number().over(w.orderBy(order)) <= F.round(F.count("*").over(w) * share)).select(*rows.columns, "is_train")
+    first = F.round(F.count("*").over(w) * F.lit(Decimal(str(share))))
+    return rows.withColumn("is_train", F.row_number().over(w.orderBy(F.asc_nulls_last(order))) <= first).select(*rows.columns, "is_train")
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 617, n: int | None = None) -> DataFrame:

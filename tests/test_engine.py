@@ -441,3 +441,12 @@ def test_stream(spark, parser, tmp_path):
     for _ in range(2):
         resolve_stream(source, parser, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [r.geonameid for r in spark.read.parquet(str(tmp_path / "out")).orderBy("mention_id").collect()] == ["2950159", "2921044"]
+
+
+def test_split_mark_rounds_decimals_and_puts_nulls_last(spark):
+    for n in (5, 45, 85, 182_675):
+        rows = spark.range(n).selectExpr("id", "'a' AS part")
+        assert training.split_mark(rows, 0.7, "id", "part").where("is_train").count() == (7 * n + 5) // 10
+    rows = spark.range(45).selectExpr("nullif(id, 3) AS id", "'a' AS part")
+    got = {r.id: r.is_train for r in training.split_mark(rows, 0.7, "id", "part").collect()}
+    assert got == {i: i <= 32 for i in range(45) if i != 3} | {None: False}

@@ -5,8 +5,8 @@ duplicates together; an odd sketch, the samples folded into a bitmap of parities
 population count estimates a high similarity, and throws out most false candidates; links are
 confirmed on the full sets. Equal sets are collapsed first: only the smallest doc_id of a class goes on.
 
-Within a band's group all pairs are never made. The first round compares each group's least
-document with the others and joins what links; groups whose members are all connected are done.
+Within a band's group all pairs are never made. The first round compares one document of each
+group, that whose bands have the most documents, with the others and joins what links; groups whose members are all connected are done.
 What is left are mostly documents that share a common passage and little else. They are grouped
 anew, by the rarest shingles of each, so few that two documents which link must share one (prefix
 filtering): common passages bring no one together there. Rounds then take a few centres of each
@@ -214,7 +214,7 @@ def rare_members(texts: DataFrame, shingle: int, percent: int, most: int = 200_0
 
 
 def links(members: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """doc, comp over members (key, doc): components of all confirmed pairs that share a key; None if nothing links.
+    """doc, comp over members (key, doc, and size: rows of the key): components of all confirmed pairs that share a key; None if nothing links.
 
     facts: doc, n, odd; texts: doc, text. Centres of a round: one of each band's group, then 8, 64, ... of each rare shingle's.
     Joins by key spread the rows of hot groups over tasks; groups are otherwise only summed up in part before they are moved.
@@ -241,8 +241,10 @@ def links(members: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int,
         return labels if found.isEmpty() else joined(labels, found)
 
     hot = hot_keys(members, "key")
-    least = members.groupBy("key").agg(F.min("doc").alias("c"))
-    rest = stored(join_hot(members, least, "key", hot, "doc").where("doc <> c"), "members")
+    # of near copies of one text, that text has the most common bands and links with all of them, while two copies need not link
+    scored = members.withColumn("order", F.struct(F.sum("size").over(Window.partitionBy("doc")).alias("score"), (-F.col("doc")).alias("less")))
+    centre = scored.groupBy("key").agg((-F.max("order").getField("less")).alias("c"))
+    rest = stored(join_hot(members.select("key", "doc"), centre, "key", hot, "doc").where("doc <> c"), "members")
     labels = compare(rest.select("c", F.col("c").alias("c_comp"), "doc", F.col("doc").alias("comp")))
     rest = named(rest.select("key", "doc"))
     open_ = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
@@ -290,8 +292,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     joined = stored(own.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("bands", "odd")).alias("own")), "classes")
     reps = joined.where("own is not null").select(F.col("doc_id").alias("doc"), "n", "own.bands", "own.odd")
     every = reps.select(F.explode("bands").alias("key"), "doc")
-    shared = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    members = stored(every.join(shared, "key", "left_semi"), "members")
+    shared = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    members = stored(every.join(shared, "key"), "members")
     labels = None
     if not members.isEmpty():
         some = stored(members.select("doc").distinct(), "candidates")

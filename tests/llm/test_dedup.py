@@ -246,3 +246,26 @@ def test_sketches_estimate_similarity(spark):
     a, b = rng.integers(0, 1 << 63, 900, np.uint64), rng.integers(0, 1 << 63, 900, np.uint64)
     odd = near_dedup.odd_sketches(near_dedup.minhashes(np.concatenate([a, b]), np.array([0, 900])))
     assert int(np.unpackbits((odd[0] ^ odd[1]).view(np.uint8)).sum()) > limit
+
+
+def test_near_copies_are_compared_with_their_common_text(spark, monkeypatch):
+    """Copies that link with one text but not with each other take few pairs, wherever that text's id lies."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(240)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(240, 0 if i == 80 else 11, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    counts, real = [], near_dedup.stored
+
+    def stored(df, name, **options):
+        out = real(df, name, **options)
+        counts.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", stored)
+    got = near_dedup.near_duplicates(frame(spark, rows), 2).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 160
+    assert sum(counts) <= 10 * len(rows)

@@ -14,12 +14,12 @@ NULL_CODE, LAST_CODE, PADDING = 52, 53, 99.0
 _MENTION = ("doc_id", "mention_id")
 
 
-def name_features(rows: DataFrame) -> DataFrame:
-    """min_dist, max_dist, avg_dist to name and alternates, ascii_dist, and alt_name_log of (search_name, gazetteer columns), the first four normalised within the mention."""
+def name_features(rows: DataFrame, by: tuple[str, ...] = _MENTION) -> DataFrame:
+    """min_dist, max_dist, avg_dist to name and alternates, ascii_dist, and alt_name_log of (search_name, gazetteer columns), normalised within the mention, or the name if that is all of `by`."""
     d = name_distances(F.col("search_name"), F.concat(F.array("name"), "alternativenames"))
     rows = rows.withColumn("dists", d)
     rows = rows.withColumns({"min_dist": F.array_min("dists").cast("double"), "max_dist": F.array_max("dists").cast("double"), "avg_dist": array_mean(F.transform("dists", lambda x: x.cast("double"))), "ascii_dist": F.levenshtein("search_name", "asciiname").cast("double"), "alt_name_log": F.ln(F.size("alternativenames") + 1)})
-    w = Window.partitionBy(*_MENTION)
+    w = Window.partitionBy(*by)
     return rows.withColumns({c: min_max(F.col(c), w) for c in ("min_dist", "max_dist", "avg_dist", "ascii_dist", "alt_name_log")}).drop("dists")
 
 

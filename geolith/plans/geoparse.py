@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.functions.text import clean_search_name, normal
 from geolith.operators import events as ev
 from geolith.operators import features as ft
 from geolith.operators import gazetteer as gz
@@ -24,10 +25,13 @@ from geolith.sources.scratch import stored
 
 @dataclass
 class Geoparser:
-    """Plug-ins, tables and switches of the job. gazetteer and index (ranked_index, or phrase_index) are tables; vectors are needed by the neural scorer alone."""
+    """Plug-ins, tables and switches of the job. gazetteer and index (ranked_index, or phrase_index) are tables; vectors are needed by the neural scorer alone.
+
+    index None: there is no stored one, the gazetteer is scanned for the phrases that the mentions ask for.
+    """
 
     gazetteer: DataFrame
-    index: DataFrame
+    index: DataFrame | None
     tagger: mn.Tagger | None = None
     hierarchy: DataFrame | None = None
     feature_codes: DataFrame | None = None
@@ -43,7 +47,7 @@ class Geoparser:
 
     def check(self) -> None:
         """Raise if a table that every search needs is not there or empty. It costs a look at a row of each."""
-        if gone := gz.missing({"gazetteer": self.gazetteer, "index": self.index}):
+        if gone := gz.missing({"gazetteer": self.gazetteer} | ({} if self.index is None else {"index": self.index})):
             raise ValueError(f"no rows in {', '.join(gone)}")
 
     def mentions(self, docs: DataFrame) -> DataFrame:
@@ -62,6 +66,8 @@ class Geoparser:
 
     def _found(self, mentions: DataFrame, every: bool, **only: object) -> DataFrame:
         """Candidates with the features that a mention gives alone, dealt by document."""
+        if self.index is None:
+            return self._found_by_scan(mentions, every, **only)
         k = self.max_choices if self.strict else self.max_choices - 2
         found = rt.candidates(mentions, self.index, self.gazetteer, k, fallback=self.fallback, strict=self.strict, every=every, **only)
         how = "left" if every else "inner"
@@ -69,6 +75,32 @@ class Geoparser:
         rows = rows.join(rt.parents(mentions, self.index, self.gazetteer), "in_rel", "left").repartition("doc_id")
         return ft.parent_features(ft.name_features(rows), self.strict).drop("search_name", "in_rel", "parent_country", "parent_adm1", "alternativenames")
 
+    def _found_by_scan(self, mentions: DataFrame, every: bool, **only: object) -> DataFrame:
+        """_found's rows without an index: what distinct names need is taken from scans of the gazetteer, which is never moved, and their candidates join the mentions, dealt by document before."""
+        spark, k = mentions.sparkSession, self.max_choices if self.strict else self.max_choices - 2
+        names = stored(mentions.select("search_name").distinct())
+        inside = stored(mentions.where("in_rel <> ''").select("in_rel").distinct())
+        phrases = lambda of: of.select(normal(F.col("query")).alias("phrase")).where("phrase <> ''").distinct()
+        outer = stored(phrases(inside.select(F.col("in_rel").alias("query"))))
+        wanted = stored(phrases(names.select(clean_search_name(F.col("search_name"), self.strict).alias("query"))).union(outer).distinct())
+        index = stored(gz.ranked_index(self.gazetteer, wanted))
+        asked = names.select(F.lit(0).alias("doc_id"), F.lit(0).alias("mention_id"), "search_name", F.lit("").alias("in_rel"))
+        search = lambda fallback: stored(rt.candidates(asked, index, self.gazetteer, k, fallback=fallback, strict=self.strict, every=True, **only).select("search_name", "slot", "geonameid"))
+        found = search(False)
+        if self.fallback and not found.where("geonameid IS NULL").isEmpty():
+            found = search(True)
+        ids = stored(found.where("geonameid IS NOT NULL").select("geonameid").distinct())
+        facts = stored(self.gazetteer.select(*PLACE, "asciiname", "alternativenames").join(ids, "geonameid", "left_semi"))
+        named = stored(ft.name_features(found.join(facts, "geonameid", "left"), ("search_name",)).drop("alternativenames"))
+        outer_ids = stored(index.join(outer, "phrase", "left_semi").select("geonameid").distinct())
+        areas = stored(self.gazetteer.where(F.col("feature_code").isin("PCLI", "ADM1")).join(outer_ids, "geonameid", "left_semi"))
+        parents = stored(rt.parents(inside.select("in_rel"), index, areas))
+        size = max(int(spark.conf.get("spark.sql.shuffle.partitions")), mentions.count() // 5000)  # a row becomes k rows in its task
+        rows = mentions.select("doc_id", "mention_id", "search_name", "in_rel").repartition(size, "doc_id")
+        few = named if named.count() > 200_000 else F.broadcast(named)
+        rows = rows.join(few if every else few.where("geonameid IS NOT NULL"), "search_name", "left" if every else "inner").join(parents, "in_rel", "left")
+        return ft.parent_features(rows, self.strict).drop("search_name", "in_rel", "parent_country", "parent_adm1")
+
     def candidates(self, mentions: DataFrame, **only: object) -> DataFrame:
         """Candidates with features; room is left for the slot of no entry and the last one (strict: for none)."""
         return ft.coherence(ft.with_null_candidate(self._found(mentions, False, **only), mentions), self.strict)

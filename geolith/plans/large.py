@@ -59,7 +59,7 @@ def search(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
 
 def parser(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> Geoparser:
     g = gazetteer(spark, sf_dir)
-    return Geoparser(g, gz.ranked_index(g) if index is None else index, DictionaryTagger(words(spark, sf_dir)))
+    return Geoparser(g, index, DictionaryTagger(words(spark, sf_dir)))
 
 
 def geoparse(spark: SparkSession, sf_dir: str) -> DataFrame:

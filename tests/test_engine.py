@@ -450,3 +450,17 @@ def test_split_mark_rounds_decimals_and_puts_nulls_last(spark):
     rows = spark.range(45).selectExpr("nullif(id, 3) AS id", "'a' AS part")
     got = {r.id: r.is_train for r in training.split_mark(rows, 0.7, "id", "part").collect()}
     assert got == {i: i <= 32 for i in range(45) if i != 3} | {None: False}
+
+
+def test_geoparse_without_a_stored_index(spark, gaz, parser):
+    """The gazetteer scanned for what is asked gives what an index gives, also for misspelt names, parents and mentions without an entry, and its plans move no entry that is not asked for."""
+    docs = spark.createDataFrame([(1, "I saw Berlin in Germany. Then Homs, Syria was next."), (2, "Berlim and Aleppo and Nowhereville."), (3, None), (3, "Berlin")], "doc_id long, text string")
+    plain = Geoparser(gaz, gazetteer.ranked_index(gaz), mentions.DictionaryTagger(["Berlin", "Germany", "Homs", "Syria", "Berlim", "Aleppo", "Nowhereville"]))
+    scan = Geoparser(gaz, None, plain.tagger)
+    scan.check()
+    want = sorted(map(str, plain.resolved(docs).collect()))
+    assert len(want) == 8 and sorted(map(str, scan.resolved(docs).collect())) == want
+    key = ("doc_id", "mention_id", "slot")
+    found = [sorted(map(str, p.candidates(p.mentions(docs)).select(*key, *sorted({"geonameid", "name", *features.FEATURES})).collect())) for p in (plain, scan)]
+    assert found[0] == found[1]
+    assert gazetteer.ranked_index(gaz, spark.createDataFrame([("berlin",)], "phrase string")).exceptAll(plain.index.where("phrase = 'berlin'")).isEmpty()
